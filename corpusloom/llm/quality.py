@@ -7,7 +7,7 @@ it. Gated attention (tanh times sigmoid) weighs the passages of a document, and
 weighted sum is scored by a logistic unit. Only document labels train it.
 
 Bound: the model is fitted on at most ``max_train`` labelled documents (the ones with
-the smallest hash of doc_id); every document of the table is scored over its whole
+the smallest hash of doc_id; of a long one ``MAX_PASSAGES`` passages, evenly spaced); every document of the table is scored over its whole
 text. Nulls and texts without words are a bag of one passage without counts; ties and
 repeated rows get equal scores. Columns other than the id and the text are ignored.
 """
@@ -27,16 +27,14 @@ from . import scratch as S
 from .textbytes import blocks, word_hashes, word_spans
 
 PASSAGE_WORDS = 32
-MARKS = b".,!|%&*#$<>:;-'\"()/@_=+?"
-_CLASS = np.full(256, 5, np.uint8)  # other ASCII marks and control bytes
-_CLASS[97:123] = 0
-_CLASS[65:91] = 1
-_CLASS[48:58] = 2
-_CLASS[[32, 9, 10, 11, 12, 13]] = 3
-_CLASS[128:] = 4
-for _k, _b in enumerate(MARKS):
-    _CLASS[_b] = 6 + _k
-N_CLASS = 6 + len(MARKS)
+#: Of a longer training document so many passages, evenly spaced, are used in the fit; scoring uses all.
+MAX_PASSAGES = 128
+#: Bytes of the same class count alike; all others are one class more.
+CLASSES = (bytes(range(97, 123)), bytes(range(65, 91)), b"0123456789", b" \t\n\v\f\r", bytes(range(128, 256)), b".,", b"!?", b"|", b"%", b"&", b"*", b"#$", b"<>", b"-_'\"", b"/:;()=+@")
+N_CLASS = len(CLASSES) + 1
+_CLASS = np.full(256, N_CLASS - 1, np.uint8)
+for _k, _bytes in enumerate(CLASSES):
+    _CLASS[list(_bytes)] = _k
 _NL = 10
 N_FEATURES = N_CLASS * N_CLASS + 7
 
@@ -107,21 +105,21 @@ class Model:
         return self.forward(x, count)["score"] if len(count) else np.zeros(0)
 
 
-def train(x: np.ndarray, count: np.ndarray, y: np.ndarray, width: int = 24, epochs: int = 40, batch: int = 48, rate: float = 0.004, decay: float = 1e-4, seed: int = 7) -> Model:
+def train(bags: list[np.ndarray], y: np.ndarray, width: int = 24, epochs: int = 40, batch: int = 48, rate: float = 0.004, decay: float = 1e-4, seed: int = 7) -> Model:
     """Adam on the log loss of documents; back-propagates through the attention weights."""
     rng = np.random.default_rng(seed)
-    f = x.shape[1]
+    f = bags[0].shape[1]
+    count = np.array([len(x) for x in bags])
     p = {"w": rng.normal(0, 1.5 / np.sqrt(24), (f, width)), "v": rng.normal(0, 0.3, (width, width)), "u": rng.normal(0, 0.3, (width, width)), "a": rng.normal(0, 0.3, width), "c": rng.normal(0, 0.3, width), "c0": np.zeros(1)}
     p = {k: q.astype(np.float32) for k, q in p.items()}
     m1 = {k: np.zeros_like(q) for k, q in p.items()}
     m2 = {k: np.zeros_like(q) for k, q in p.items()}
-    at = np.concatenate(([0], np.cumsum(count)))
     step = 0
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         for lo in range(0, len(y), batch):
             pick = order[lo : lo + batch]
-            xs = np.concatenate([x[at[i] : at[i + 1]] for i in pick])
+            xs = np.concatenate([bags[i] for i in pick]).astype(np.float32)
             cs, ys = count[pick], y[pick]
             s = Model(p["w"], p["v"], p["u"], p["a"], p["c"], float(p["c0"][0])).forward(xs, cs)
             d = ((s["score"] - ys) / len(pick)).astype(np.float32)
@@ -157,7 +155,8 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, data, offsets in blocks(b.column(0)):
             x, count = encode(data, offsets)
             at = np.concatenate(([0], np.cumsum(count)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[at[i] : at[i + 1]].tobytes() for i in range(hi - lo)], pa.binary()), pa.array(label[lo:hi].astype(np.float64))], ["x", "y"])
+            some = [x[at[i] : at[i + 1]][np.unique(np.linspace(0, count[i] - 1, min(count[i], MAX_PASSAGES)).astype(int))] for i in range(hi - lo)]
+            yield pa.RecordBatch.from_arrays([pa.array([s.astype(np.float16).tobytes() for s in some], pa.binary()), pa.array(label[lo:hi].astype(np.float64))], ["x", "y"])
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_train: int = 3000, target: str = "quality") -> Model | None:
@@ -171,8 +170,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_train: int = 3000, target:
     y = np.array([r.y for r in rows])
     if len(set(y)) < 2:
         return None
-    xs = [np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES) for r in rows]
-    return train(np.concatenate(xs), np.array([len(x) for x in xs]), y)
+    return train([np.frombuffer(r.x, np.float16).reshape(-1, N_FEATURES) for r in rows], y)
 
 
 def score(documents: DataFrame, model: Model | None, prior: float = 0.5) -> DataFrame:
