@@ -62,8 +62,14 @@ def components(scratch: Scratch, links: DataFrame, one_task: int = ONE_TASK) ->
         done = scratch.save(stars.coalesce(1).mapInPandas(_local_stars, "src long, dst long"), "components")
         scratch.drop(stars)
         return done.select(F.col("src").alias("id"), F.col("dst").alias("component"))
-    nodes = stars.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    edges = scratch.save(stars.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges")
+    return star_components(scratch, stars)
+
+
+def star_components(scratch: Scratch, links: DataFrame) -> DataFrame:
+    """As components(), in DataFrame operations only: large-star and small-star rounds until nothing changes."""
+    links = links.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src is not null and dst is not null")
+    nodes = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    edges = scratch.save(links.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges")
     seen = None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -76,7 +82,7 @@ def components(scratch: Scratch, links: DataFrame, one_task: int = ONE_TASK) ->
         mark = tuple(after.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
         scratch.drop(edges, large)
         edges = after
-        if mark == seen:
+        if mark == seen or not mark[0]:
             break
         seen = mark
     done = nodes.join(edges.select(F.col("u").alias("id"), "v"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
