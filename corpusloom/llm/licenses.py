@@ -50,27 +50,42 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
 
 
-def shingled(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with the hash of the shingle at each place in column out, in place of text; empty if too short.
+def _row() -> Column:
+    """The row's number, unchanged; but Spark moves no filter below a projection that isn't deterministic.
+
+    Moved down, a filter would hold a copy of the arrays' expressions, computed again
+    for every element of a lambda that refers to them."""
+    return (F.col("_row") + F.floor(F.rand(0)).cast("long")).alias("_row")
 
-    One projection for each step: what a lambda refers to must be a column, or it would
-    be computed again for every element."""
-    others = [c for c in df.columns if c != text]
-    df = df.select(*others, F.transform(words(F.col(text)), lambda x: F.xxhash64(x)).alias("_h"))
+
+def shingled(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with a number _row for each row and, in place of text, the hash of the shingle at each place; empty if too short."""
+    others = [F.col(c) for c in df.columns if c != text]
+    df = df.select(*others, F.monotonically_increasing_id().alias("_row"), F.transform(words(F.col(text)), lambda x: F.xxhash64(x)).alias("_h"))
     n = F.size("_h") - SHINGLE
     runs = F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(*[F.get("_h", i + k) for k in range(SHINGLE)]))
-    return df.select(*others, F.when(n >= 0, runs).otherwise(F.array().cast("array<bigint>")).alias(out))
+    return df.select(*others, _row(), F.when(n >= 0, runs).otherwise(F.array().cast("array<bigint>")).alias(out))
+
+
+def bands(shingles: Column) -> Column:
+    """The MinHash of an array of shingles under each hash function."""
+
+    def lowest(k: int) -> Column:
+        return F.array_min(F.transform(shingles, lambda x: F.xxhash64(F.lit(k), x)))
+
+    return F.array(*[lowest(k) for k in range(BANDS)])
 
 
-def band(shingle: Column, k: int) -> Column:
-    """Value of a shingle under the k-th hash function."""
-    return F.xxhash64(F.lit(k), shingle)
+def _starts(hits: Column, c: int) -> Column:
+    """Windows of size 2c, which start at multiples of c, that hold one of the hits."""
+    near = F.flatten(F.transform(hits, lambda i: F.array(i - i % c, i - i % c - c)))
+    return F.transform(F.array_distinct(F.filter(near, lambda x: x >= 0)), lambda x: F.struct(F.lit(c).alias("c"), x.cast("int").alias("at")))
 
 
 def prepared(spark, templates: dict[str, str]) -> list[tuple[str, list[int], list[int]]]:
     """Name, distinct shingles and band values of each template: a few values, made by the same expressions."""
     rows = shingled(spark.createDataFrame(list(templates.items()), "name string, text string"), "text", "s").withColumn("s", F.array_distinct("s"))
-    rows = rows.select("name", "s", F.array(*[F.array_min(F.transform("s", lambda x, k=k: band(x, k))) for k in range(BANDS)]).alias("bands"))
+    rows = rows.select("name", "s", bands(F.col("s")).alias("bands"))
     got = [(r.name, list(r.s), list(r.bands)) for r in rows.orderBy("name").collect()]
     if short := [name for name, s, _ in got if not s]:
         raise ValueError(f"templates need at least {SHINGLE} words: {short}")
@@ -93,19 +108,15 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None, containm
             size *= 2
         classes.setdefault(size, []).append(t)
     hashed = shingled(documents.select("doc_id", F.col("text").cast("string").alias("text")), "text", "s")
-    held = hashed.select("doc_id", "s", F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.get("s", i).isin(every)).alias("hits")).where("size(s) > 0 and size(hits) > 0")
-    # Windows of size 2c start at multiples of c; a hit at i lies in those that start at the multiple at or before i, and the one before that.
-    starts = []
-    for c in sorted(classes):
-        near = F.flatten(F.transform("hits", lambda i, c=c: F.array(F.floor(i / c) * c, F.floor(i / c) * c - c)))
-        starts.append(F.transform(F.array_distinct(F.filter(near, lambda x: x >= 0)), lambda x, c=c: F.struct(F.lit(c).alias("c"), x.cast("int").alias("at"))))
-    windows = held.select("doc_id", "s", F.explode(F.concat(*starts)).alias("w")).select("doc_id", "w.c", "w.at", F.array_distinct(F.slice("s", F.col("w.at") + 1, 2 * F.col("w.c"))).alias("x"))
-    signed = windows.select("doc_id", "c", "at", "x", F.array(*[F.array_min(F.transform("x", lambda v, k=k: band(v, k))) for k in range(BANDS)]).alias("bands"))
+    held = hashed.where("size(s) > 0").select("doc_id", _row(), "s", F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.get("s", i).isin(every)).alias("hits")).where("size(hits) > 0")
+    starts = [_starts(F.col("hits"), c) for c in sorted(classes)]
+    windows = held.select("doc_id", _row(), "s", F.concat(*starts).alias("ws")).select("doc_id", "_row", "s", F.explode("ws").alias("w")).select("doc_id", _row(), "w.c", "w.at", F.array_distinct(F.slice("s", F.col("w.at") + 1, 2 * F.col("w.c"))).alias("x"))
+    signed = windows.select("doc_id", _row(), "c", "at", "x", bands(F.col("x")).alias("bands"))
     checks = []
     for c, group in sorted(classes.items()):
-        for name, s, bands in group:
-            met = F.exists(F.arrays_zip(F.col("bands").alias("a"), _longs(bands).alias("b")), lambda z: z["a"] == z["b"])
+        for name, s, signs in group:
+            met = F.exists(F.arrays_zip(F.col("bands").alias("a"), _longs(signs).alias("b")), lambda z: z["a"] == z["b"])
             share = F.size(F.array_intersect("x", _longs(s))) / F.lit(float(len(s)))
             checks.append(F.when((F.col("c") == c) & met, F.struct(F.lit(name).alias("license"), share.alias("containment"))))
-    found = signed.select("doc_id", "at", F.explode(F.filter(F.array(*checks), lambda z: z.isNotNull() & (z["containment"] >= containment))).alias("m"))
-    return found.groupBy("doc_id", "m.license").agg(F.max("m.containment").alias("containment"), F.count("*").alias("n_windows"), F.min("at").cast("long").alias("first_word"))
+    found = signed.select("doc_id", "_row", "at", F.explode(F.filter(F.array(*checks), lambda z: z.isNotNull() & (z["containment"] >= containment))).alias("m"))
+    return found.groupBy("_row", "doc_id", "m.license").agg(F.max("m.containment").alias("containment"), F.count("*").alias("n_windows"), F.min("at").cast("long").alias("first_word")).drop("_row")
