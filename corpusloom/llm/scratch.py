@@ -2,29 +2,18 @@
 
 Iterative operators cut their lineage with Parquet tables in the folder that the
 cluster names in ``spark.checkpoint.dir``; a lost executor costs only the tasks it
-ran, as the tables outlive it. Where the setting is missing (tests on a local
-master) a temporary folder stands in; any other master is refused.
+ran, as the tables outlive it.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """Folder that the driver and every executor can reach."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
-    return spark.sparkContext.getCheckpointDir()
+from ..shared import shared_folder
 
 
 def ship(spark: SparkSession) -> None:
