@@ -42,7 +42,7 @@ from .scratch import ship
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Words in a task's table; it is emptied when full.
+#: Words in a worker's table. A full one becomes the older table, from which words that come again are taken over.
 TABLE = 500_000
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
@@ -74,32 +74,37 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class Known:
-    """Finds pieces by a 64-bit hash of their code points, for arrays of strings at once.
+    """Finds pieces and their beginnings by a 64-bit hash of their code points, for arrays of strings at once.
 
     Two direct tables: what collides in the first lies in the second, whose bits are
     chosen so that nothing collides there."""
 
     BASE = np.uint64(0x9E3779B97F4A7C15)
+    BITS = 20
+    NONE, BEGINNING = -2, -1
 
     def __init__(self, ids: dict[str, int]):
-        names = list(ids)
-        self.hashes = np.array([self.of(n) for n in names] or [0], np.uint64)
-        self.ids = np.array(list(ids.values()) or [-1], np.int32)
-        self.first = np.full(1 << 18, -1, np.int32)
+        held = {name[:k]: self.BEGINNING for name in ids for k in range(1, len(name))} | ids
+        self.hashes = np.array([self.of(n) for n in held] or [1], np.uint64)
+        self.ids = np.array(list(held.values()) or [self.NONE], np.int32)
         slots = self.slot(self.hashes, 0)
         lone = np.unique(slots, return_index=True)[1]
-        self.first[slots[lone]] = lone
         rest = np.setdiff1d(np.arange(len(self.hashes)), lone)
         for self.turn in range(1, 10_000):
-            slots = self.slot(self.hashes[rest], self.turn)
-            if len(np.unique(slots)) == len(rest):
+            again = self.slot(self.hashes[rest], self.turn)
+            if len(np.unique(again)) == len(rest):
                 break
-        self.second = np.full(1 << 18, -1, np.int32)
-        self.second[slots] = rest
+        self.first, self.second = self._table(slots[lone], lone), self._table(again, rest)
+
+    def _table(self, slots: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and id by slot; an empty slot has a hash of 0, which no piece has."""
+        h, i = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, self.NONE, np.int32)
+        h[slots], i[slots] = self.hashes[which], self.ids[which]
+        return h, i
 
     @staticmethod
     def slot(h: np.ndarray, turn: int) -> np.ndarray:
-        return ((h * np.uint64(0xBF58476D1CE4E5B9 + 2 * turn)) >> np.uint64(46)).astype(np.int64)
+        return ((h * np.uint64(0xBF58476D1CE4E5B9 + 2 * turn)) >> np.uint64(64 - Known.BITS)).astype(np.int64)
 
     @classmethod
     def step(cls, h: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -108,21 +113,22 @@ class Known:
         return h ^ (h >> np.uint64(29))
 
     @classmethod
-    def of(cls, name: str) -> np.uint64:
-        h = np.ones(1, np.uint64)
+    def of(cls, name: str) -> int:
+        h, most = 1, (1 << 64) - 1
         for c in name:
-            h = cls.step(h, np.uint64(ord(c)))
-        return h[0]
+            h = ((h ^ ord(c)) * int(cls.BASE)) & most
+            h ^= h >> 29
+        return h
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Piece ids, -1 where there is none."""
-        at = self.first[self.slot(h, 0)]
-        good = self.hashes[at] == h
-        out = np.where(good & (at >= 0), self.ids[at], -1)
-        miss = np.flatnonzero(~good & (at >= 0))
+        """Piece ids, BEGINNING for what only begins pieces, NONE for anything else."""
+        at = self.slot(h, 0)
+        held = self.first[0][at]
+        out = np.where(held == h, self.first[1][at], self.NONE)
+        miss = np.flatnonzero((held != h) & (held != 0))
         if len(miss):
-            again = self.second[self.slot(h[miss], self.turn)]
-            out[miss] = np.where((again >= 0) & (self.hashes[again] == h[miss]), self.ids[again], -1)
+            at = self.slot(h[miss], self.turn)
+            out[miss] = np.where(self.second[0][at] == h[miss], self.second[1][at], self.NONE)
         return out
 
 
@@ -142,6 +148,7 @@ class Pieces:
     longest: int
     worst: float
     table: dict[str, tuple[float, bytes, float]] = field(default_factory=dict)
+    older: dict[str, tuple[float, bytes, float]] = field(default_factory=dict)
     nbest: dict[tuple[str, int], list[tuple[float, bytes]]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -225,21 +232,30 @@ class Pieces:
         best, second = np.full((total + 1, m), -np.inf), np.full((total + 1, m), -np.inf)
         best[0] = 0
         back, piece = np.zeros((total + 1, m), np.int32), np.zeros((total + 1, m), np.int32)
-        # Forward from each start: all pieces that begin there. Starts ascend, so that of equal paths the longest last piece stays.
+        # Forward from each start, along words where a piece may still go on. Starts ascend, so that of equal paths the longest last piece stays.
+        every = np.arange(m)
         for start in range(total):
-            h = np.ones(m, np.uint64)
+            rows, h = every, np.ones(m, np.uint64)
             for end in range(start + 1, min(total, start + self.longest) + 1):
-                h = np.broadcast_to(mark, m) if end == 1 else Known.step(h, code[end - 2])
+                h = np.broadcast_to(mark, m) if end == 1 else Known.step(h, code[end - 2] if rows is every else code[end - 2][rows])
                 i = self.known.find(h)
-                s = self.score_of[i] if end == start + 1 else np.where(i >= 0, self.score_of[i], -np.inf)
-                got = best[start] + s
-                more = got > best[end]
-                second[end] = np.maximum(np.where(more, best[end], np.maximum(second[end], got)), second[start] + s)
-                best[end] = np.where(more, got, best[end])
-                back[end] = np.where(more, start, back[end])
-                piece[end] = np.where(more, i, piece[end])
+                if end == start + 1:
+                    at, i1 = every, np.maximum(i, -1)  # a character by itself is unknown if it is no piece
+                else:
+                    hit = i >= 0
+                    at, i1 = rows[hit], i[hit]
+                s = self.score_of[i1]
+                had, before = best[end][at], best[start][at]
+                got = before + s
+                more = got > had
+                second[end][at] = np.maximum(np.where(more, had, np.maximum(second[end][at], got)), second[start][at] + s)
+                better = at[more]
+                best[end][better], back[end][better], piece[end][better] = got[more], start, i1[more]
+                alive = i != Known.NONE
+                rows, h = rows[alive], h[alive]
+                if not len(rows):
+                    break
         at = np.full(m, total)
-        every = np.arange(m)
         steps = []
         while at.any():
             steps.append(np.where(at > 0, piece[at, every], -2))
@@ -284,21 +300,24 @@ class Pieces:
         """For each text its n best (score, ids), best first."""
         split = [self.words(t) if t else [] for t in texts]
         if len(self.table) > TABLE:
-            self.table.clear()
-            self.nbest.clear()
-        self.solve([w for w in set().union(*split) if w not in self.table])
+            self.older, self.table, self.nbest = self.table, {}, {}
+        missing = set().union(*split).difference(self.table)
+        again = missing.intersection(self.older)
+        self.table.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        self.solve(list(missing - again))
         for words in split:
             yield self._compose(words, n)
 
     def _compose(self, words: list[str], n: int) -> list[tuple[float, bytes]]:
-        got = [self.table[w] for w in words]
-        base = sum([g[0] for g in got])
-        parts = [g[1] for g in got]
+        if not words:
+            return [(0.0, b"")]
+        scores, parts, losses = zip(*map(self.table.__getitem__, words), strict=True)
+        base = sum(scores)
         out = [(base, b"".join(parts))]
-        if n == 1 or not got:
+        if n == 1:
             return out
         # A change costs at least its word's loss, so only the n - 1 words that lose least change in the n best.
-        free = [k for lost, k in heapq.nsmallest(n - 1, zip([g[2] for g in got], itertools.count(), strict=False)) if lost < np.inf]
+        free = [k for lost, k in heapq.nsmallest(n - 1, zip(losses, itertools.count(), strict=False)) if lost < np.inf]
         lists = []
         for k in free:
             w = words[k]
