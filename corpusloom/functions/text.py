@@ -48,8 +48,8 @@ def superscript_digits(x: Column) -> Column:
 
 
 def ratio(a: Column, b: Column) -> Column:
-    """max / min, null where the smaller is 0."""
-    return F.try_divide(F.greatest(a, b).cast("double"), F.least(a, b).cast("double"))
+    """max / min, null where the smaller is 0 or either is null."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.try_divide(F.greatest(a, b).cast("double"), F.least(a, b).cast("double")))
 
 
 def tokens(x: Column, marks: str) -> Column:
