@@ -317,7 +317,10 @@ class Pieces:
         if n == 1:
             return out
         # A change costs at least its word's loss, so only the n - 1 words that lose least change in the n best.
-        free = [k for lost, k in heapq.nsmallest(n - 1, zip(losses, itertools.count(), strict=False)) if lost < np.inf]
+        left, free = list(losses), []
+        while len(free) < n - 1 and (lost := min(left)) < np.inf:
+            free.append(left.index(lost))
+            left[free[-1]] = np.inf
         lists = []
         for k in free:
             w = words[k]
@@ -360,7 +363,7 @@ def loaded(path: str) -> Pieces:
     return _loaded[path]
 
 
-def _groups(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
+def _groups(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, list[str | None]]]:
     """(first row, texts) of consecutive rows of about so many characters."""
     at, held, size = 0, [], 0
     for i, x in enumerate(column):
