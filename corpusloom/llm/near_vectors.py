@@ -33,7 +33,7 @@ from .scratch import Scratch
 from .vectors import doubles, valid
 
 SAMPLE = 20_000
-#: Vectors aimed at in a cell, the most cells, and vectors in a block.
+#: Vectors of a label aimed at in a cell, the most cells, and vectors in a block.
 CELL, MOST_CELLS, BLOCK = 4096, 1024, 2048
 
 
@@ -139,7 +139,8 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.93, block: int =
     takes_part = valid("embedding") & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     distinct = rows.where(takes_part).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     distinct = sc.save(distinct, "distinct")
-    n = distinct.count()
+    # Cells are those of a label, so the largest label sets their number.
+    n = distinct.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     some = distinct.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(SAMPLE).toPandas()["embedding"]
     centres: dict[int, np.ndarray] = {}
     for d, part in some.groupby(some.map(len)) if len(some) else ():
