@@ -37,10 +37,10 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         """Write df and read it again: the result has no lineage beyond its files."""
         at = self.path(name)
-        df.write.parquet(at)
+        df.write.parquet(at, compression=compression)
         back = self.spark.read.schema(df.schema).parquet(at)
         back._corpusloom_path = at
         return back
