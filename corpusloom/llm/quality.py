@@ -7,7 +7,8 @@ it. Gated attention (tanh times sigmoid) weighs the passages of a document, and
 weighted sum is scored by a logistic unit. Only document labels train it.
 
 Bound: the model is fitted on at most ``max_train`` labelled documents (the ones with
-the smallest hash of doc_id; of a long one ``MAX_PASSAGES`` passages, evenly spaced); every document of the table is scored over its whole
+the smallest hash of doc_id, each once: with the more frequent of its labels, the larger
+one of a tie, and of its rows the text with the smallest hash; of a long one ``MAX_PASSAGES`` passages, evenly spaced); every document of the table is scored over its whole
 text. Nulls and texts without words are a bag of one passage without counts; ties and
 repeated rows get equal scores. Columns other than the id and the text are ignored.
 """
@@ -162,10 +163,14 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(documents: DataFrame, labels: DataFrame, max_train: int = 3000, target: str = "quality") -> Model | None:
     """The model, or None if the labels hold fewer than two classes."""
     known = labels.select(F.col("doc_id").alias("id"), F.col(target).cast("double").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out("id"))
-    # A stated bound: at most max_train ids and labels, so the list may be broadcast.
-    some = known.orderBy(F.xxhash64("id"), "id", "y").limit(max_train)
-    bags = documents.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("id")).select("text", "y").mapInArrow(_encoded, "x binary, y double")
-    rows = bags.limit(2 * max_train).collect()
+    # Copies of a label combine before the shuffle; one row is left of each id.
+    once = known.groupBy("id", "y").count().groupBy("id").agg(F.max(F.struct("count", "y")).alias("m")).select("id", "m.y")
+    # A stated bound: at most max_train ids, so the list may be broadcast.
+    some = once.orderBy(F.xxhash64("id"), "id").limit(max_train)
+    texts = documents.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("id"))
+    texts = texts.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m")).select(F.col("m.text").alias("text"), "y", "id")
+    bags = texts.repartition(S.partitions(documents.sparkSession), "id").select("text", "y").mapInArrow(_encoded, "x binary, y double")
+    rows = bags.collect()
     rows.sort(key=lambda r: (bytes(r.x), r.y))
     y = np.array([r.y for r in rows])
     if len(set(y)) < 2:

@@ -7,7 +7,8 @@ allowed urls among all labelled urls with the same host suffix (last label, last
 labels and whole host, hashed into ``BUCKETS`` buckets each). Rule paths are not
 features, and the share of a training row leaves the row itself out.
 
-Bound: the trees are fitted on at most ``max_train`` labelled urls (smallest hash); the
+Bound: the trees are fitted on at most ``max_train`` labelled urls (smallest hash; copies
+of a url are one, with the more frequent label, 1 if they tie); the
 suffix statistics count all labelled urls. Every url is judged. Null urls, or ones
 without ``://``, have an empty host and path and are judged by their (empty) features.
 With fewer than two labels among the labelled urls all get the more frequent one, allow
@@ -66,10 +67,10 @@ def _entropy(text: str) -> float:
     return float(-(q * np.log2(q)).sum())
 
 
-def features(pdf: pd.DataFrame, allowed: np.ndarray, total: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+def features(pdf: pd.DataFrame, allowed: np.ndarray, total: np.ndarray, own: np.ndarray | None = None, copies: np.ndarray | int = 1) -> np.ndarray:
     """Rows of lexical features; allowed and total count labelled urls by level and bucket.
 
-    own (a training row's label) is taken out of its own counts."""
+    own (a training row's label, or the sum over its copies) is taken out of its own counts."""
     url = pdf["url"].fillna("")
     host, path = pdf["host"], pdf["path"]
     query = url.str.partition("#")[0].str.partition("?")[2]
@@ -85,7 +86,7 @@ def features(pdf: pd.DataFrame, allowed: np.ndarray, total: np.ndarray, own: np.
     for i in range(LEVELS):
         a, t = allowed[i, buckets[:, i]].astype(np.float64), total[i, buckets[:, i]].astype(np.float64)
         if own is not None:
-            a, t = a - own, t - 1
+            a, t = a - own, t - copies
         cols += [(a + 4 * prior) / (t + 4), np.log1p(t)]
     return np.column_stack([np.asarray(c, np.float64) for c in cols])
 
@@ -169,10 +170,13 @@ class UrlFilter:
         self.allowed, self.total = np.zeros((2, LEVELS, BUCKETS), np.int64)
         self.allowed[stats["level"], stats["bucket"]] = stats["a"]
         self.total[stats["level"], stats["bucket"]] = stats["t"]
-        some = rows.orderBy(F.xxhash64("url"), "url", "allow").limit(max_train).toPandas()
-        y = some["allow"].to_numpy(np.float64)
+        once = rows.groupBy("url").agg(F.sum("allow").alias("allow"), F.count("*").alias("copies")).orderBy(F.xxhash64("url"), "url").limit(max_train)
+        host, path = host_and_path(F.col("url"))
+        some = once.withColumns({"host": host, "path": path}).withColumn("suffix", suffixes(F.col("host"))).toPandas()
+        own, copies = some["allow"].to_numpy(np.float64), some["copies"].to_numpy(np.float64)
+        y = (2 * own >= copies).astype(np.float64)
         self.constant = None if len(set(y)) == 2 else float(y[0]) if len(y) else 1.0
-        self.model = boost(features(some, self.allowed, self.total, y), y) if self.constant is None else None
+        self.model = boost(features(some, self.allowed, self.total, own, copies), y) if self.constant is None else None
 
     def verdicts(self, pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
         """page_id, host, path, rule, verdict, score (of the trees)."""
