@@ -6,7 +6,7 @@ is packed by itself, longest item first:
 * an item goes to the open bin with the least room that still holds it (best fit);
 * if none holds it, a bin of the permitted length with the least cost is opened. The
   cost of a length is (length + per_bin) for each token that it can be expected to
-  hold, min(length, tokens not placed yet): all lengths are weighed jointly;
+  hold, min(length, tokens not placed yet): the longest, until few tokens are left;
 * at the end every bin shrinks to the shortest permitted length that holds its contents.
 
 An item longer than the longest length is cut into pieces, all of them placed. Null and
