@@ -7,6 +7,7 @@ ran, as the tables outlive it.
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from pathlib import Path
@@ -54,10 +55,13 @@ class Scratch:
             at.getFileSystem(conf).delete(at, True)
 
     def release(self) -> None:
-        """Let Spark's cleaner delete shuffle files of plans that nothing refers to any more."""
-        import gc
+        """Let Spark's cleaner delete shuffle files of plans that nothing refers to any more.
 
+        The scheduler refers to the last job until another one ran."""
         gc.collect()
+        self.spark.range(1).count()
+        self.spark._jvm.System.gc()
+        self.spark.range(1).count()
         self.spark._jvm.System.gc()
 
 
