@@ -7,16 +7,17 @@ arrays of ``bits``-long hash strings. Inner product becomes an angle by one more
 component: x is scaled by the largest norm M of the band and extended by sqrt(1 - |x|^2 / M^2), a query by 0; each bit is the sign of
 a product with a random direction. A query descends in each tree to its longest prefix
 match by binary search. Then all trees ascend together: prefix lengths fall level by
-level until the union of the prefix ranges of all trees holds ``share`` of the band's
-rows (at least ``least``; a row in several trees counts once), and it is scored exactly,
-in double precision. A band of at most ``least`` rows is scored whole. Bands go from the
-longest vectors down; a query leaves out those that cannot reach its ``k`` best, as no
-product exceeds that of the norms.
+level until the prefix ranges of all trees hold ``support`` entries for each row that is
+to be scored, which are ``share`` of the band's rows (at least ``least``): the rows that
+most trees hold in their ranges. These are scored exactly, in double precision. A band of
+at most ``least`` rows is scored whole. Bands go from the longest vectors down; a query
+leaves out those that cannot reach its ``k`` best, as no product exceeds that of the norms.
 
 Queries are rows whose id is divisible by ``every``; in blocks they meet every shard.
 Per shard and query the ``k`` best go on to the merge. Null, empty, zero and non-finite
 vectors, vectors of other lengths than the query's and rows without an id take no part;
-rows that repeat a query's id are no candidates of it. Ties go to the smaller vec_id.
+rows that repeat a query's id are no candidates of it; other repeated rows are candidates
+each; queries that share an id share its 20 places. Ties go to the smaller vec_id.
 An empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .vectors import doubles, valid
 
-SHARD, QUERIES = 8192, 4096
+SHARD, QUERIES = 16_384, 16_384
 #: Largest quotient of two norms in a band.
 BAND = 1.25
 
@@ -50,17 +51,21 @@ class Forest:
         self.order = np.argsort(self.codes, axis=1, kind="stable")
         self.codes = np.take_along_axis(self.codes, self.order, axis=1)
 
-    def _codes(self, z: np.ndarray) -> np.ndarray:
-        signs = (z @ self.planes > 0).reshape(len(z), self.trees, self.bits)
-        weights = (1 << np.arange(self.bits - 1, -1, -1)).astype(np.int64)
-        return np.ascontiguousarray((signs @ weights).T)
+    def _codes(self, z: np.ndarray, rows: int = 2048) -> np.ndarray:
+        weights = (1 << np.arange(self.bits - 1, -1, -1)).astype(np.float64)
+        out = np.empty((self.trees, len(z)), np.int64)
+        for lo in range(0, len(z), rows):
+            signs = (z[lo : lo + rows] @ self.planes > 0).reshape(-1, self.trees, self.bits)
+            out[:, lo : lo + rows] = (signs @ weights).T
+        return out
 
-    def candidates(self, q: np.ndarray, enough: int) -> list[np.ndarray]:
-        """For each query the rows in its ranges, at the longest prefixes that hold ``enough`` distinct rows."""
+    def candidates(self, q: np.ndarray, enough: int, support: int) -> list[np.ndarray]:
+        """For each query ``enough`` rows at most: those in most ranges, at the longest prefixes whose ranges hold ``support`` times as many entries."""
         codes = self._codes(np.column_stack((q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros(len(q)))))
-        out: list[np.ndarray] = [np.arange(self.codes.shape[1])] * len(q)
+        n = self.codes.shape[1]
+        enough = min(enough, n)
+        out: list[np.ndarray] = [np.arange(n)] * len(q)
         open_ = np.arange(len(q))
-        seen = np.zeros(self.codes.shape[1], bool)
         for length in range(self.bits, 0, -1):
             shift = self.bits - length
             a, z = np.empty((self.trees, len(open_)), np.int64), np.empty((self.trees, len(open_)), np.int64)
@@ -68,14 +73,10 @@ class Forest:
                 prefix = codes[t, open_] >> shift
                 a[t] = np.searchsorted(self.codes[t], prefix << shift, "left")
                 z[t] = np.searchsorted(self.codes[t], (prefix + 1) << shift, "left")
-            done = np.zeros(len(open_), bool)
-            for i in np.flatnonzero((z - a).sum(0) >= enough):
-                for t in range(self.trees):
-                    seen[self.order[t, a[t, i] : z[t, i]]] = True
-                found = np.flatnonzero(seen)
-                seen[found] = False
-                if len(found) >= enough:
-                    out[open_[i]], done[i] = found, True
+            done = (z - a).sum(0) >= enough * support
+            for i in np.flatnonzero(done):
+                held = np.bincount(np.concatenate([self.order[t, a[t, i] : z[t, i]] for t in range(self.trees)]), minlength=n)
+                out[open_[i]] = np.sort(np.argpartition(-held, enough - 1)[:enough])
             open_ = open_[~done]
             if not len(open_):
                 break
@@ -92,7 +93,7 @@ def _bands(norm: np.ndarray) -> Iterator[np.ndarray]:
         lo = hi
 
 
-def _search(k: int, trees: int, bits: int, share: float, least: int):
+def _search(k: int, trees: int, bits: int, share: float, least: int, support: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, part in pdf.groupby(pdf["embedding"].map(len)):
@@ -113,7 +114,7 @@ def _search(k: int, trees: int, bits: int, share: float, least: int):
                 if len(rows_in) <= enough:
                     met = [rows_in] * len(left)
                 else:
-                    met = [rows_in[m] for m in Forest(x[rows_in], most, trees, bits).candidates(q[left], enough)]
+                    met = [rows_in[m] for m in Forest(x[rows_in], most, trees, bits).candidates(q[left], enough, support)]
                 for i, found in zip(left, met, strict=True):
                     found = np.concatenate((best[i], found[ids[found] != qid[i]]))
                     score = x[found] @ q[i]
@@ -131,7 +132,7 @@ def _search(k: int, trees: int, bits: int, share: float, least: int):
     return run
 
 
-def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, trees: int = 64, bits: int = 16, share: float = 0.5, least: int = 4096, shard: int = SHARD) -> DataFrame:
+def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, trees: int = 256, bits: int = 20, share: float = 0.18, least: int = 256, support: int = 16, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score."""
     spark = embeddings.sparkSession
     sc = Scratch(spark, "forest")
@@ -141,9 +142,10 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, trees: int = 64
     of = lambda m, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(m)).cast("int")
     all_ = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     held = rows.select(of(shards, 1).alias("s"), all_(blocks).alias("b"), F.lit(False).alias("is_query"), "vec_id", "embedding")
-    query = rows.where(F.col("vec_id") % every == 0).select(all_(shards).alias("s"), of(blocks, 2).alias("b"), F.lit(True).alias("is_query"), "vec_id", "embedding")
-    found = held.unionByName(query).groupBy("s", "b").applyInPandas(_search(k, trees, bits, share, least), "query_id long, vec_id long, score double")
-    found = sc.save(found.dropDuplicates(["query_id", "vec_id", "score"]), "found")
+    # A query row that is repeated is one query; candidate rows are all kept.
+    query = rows.where(F.col("vec_id") % every == 0).distinct().select(all_(shards).alias("s"), of(blocks, 2).alias("b"), F.lit(True).alias("is_query"), "vec_id", "embedding")
+    found = held.unionByName(query).groupBy("s", "b").applyInPandas(_search(k, trees, bits, share, least, support), "query_id long, vec_id long, score double")
+    found = sc.save(found, "found")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
