@@ -35,7 +35,7 @@ def linked(rows, t):
     return [(a[0], b[0]) for k, a in enumerate(good) for b in good[:k] if a[2] == b[2] and len(a[1]) == len(b[1]) and cosine(a[1], b[1]) >= t]
 
 
-@pytest.mark.parametrize(("block", "cell"), [(2048, 4096), (16, 20)])
+@pytest.mark.parametrize(("block", "cell"), [(2048, 4096), (16, 20), (64, 1)])
 def test_near_duplicates(spark, block, cell):
     rows = rows_of()
     links = linked(rows, 0.93)
@@ -52,6 +52,23 @@ def test_near_duplicates(spark, block, cell):
             assert (r.n_links, r.component_id, r.kept) == (n.get(r.vec_id, 0), label[r.vec_id], label[r.vec_id] == r.vec_id), r
 
 
+def test_repeated_vec_id(spark):
+    """Each row counts the links of its own vector; the vectors of one id are one node."""
+    rows = [(1, [1.0, 0.0], 0, None), (1, [0.0, 1.0], 0, None), (2, [1.0, 0.01], 0, None), (3, [0.01, 1.0], 0, None), (4, [0.0, 1.0], 0, None), (5, [1.0, 1.0], 0, None), (9, [-1.0, 0.0], 0, None), (9, [-1.0, -1.0], 0, None), (7, [-1.0, -1.0], 0, None)]
+    got = near_vectors.near_duplicates(spark.createDataFrame(rows, SCHEMA), 0.93).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1), (5, 0, 5), (7, 1, 7), (9, 0, 7), (9, 1, 7)]
+
+
+def test_cells_on_small_tables(spark):
+    """k-means cells at the smallest sizes; more where vectors lie in groups."""
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    assert near_vectors.near_duplicates(df, 0.93).first().cells >= 2
+    r = np.random.default_rng(1)
+    x = np.repeat(r.normal(size=(40, 16)), 60, axis=0) + 0.02 * r.normal(size=(2400, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(near_vectors.best_centres(x, 150, 0.93)) >= 16
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_vectors.near_duplicates(empty).count() == 0
@@ -110,3 +127,9 @@ def test_forest_small_shards(spark):
     x = np.array([r[1] for r in rows])
     want = {(q, rank, int(v)) for q, near in hash_forest.brute_force(np.arange(120), x, 5, 20) for rank, v in enumerate(near, 1)}
     assert {(r.query_id, r.rank, r.vec_id) for r in got} == want
+
+
+def test_forest_repeated_candidates(spark):
+    rows = [(20, [1.0, 0.0], 0, None), (20, [1.0, 0.0], 0, None), (1, [3.0, 0.0], 0, None), (1, [3.0, 0.0], 0, None), (2, [1.0, 1.0], 0, None)]
+    got = hash_forest.nearest(spark.createDataFrame(rows, SCHEMA), k=20, every=20).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(20, 1, 1, 3.0), (20, 2, 1, 3.0), (20, 3, 2, 1.0)]
