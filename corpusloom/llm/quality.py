@@ -8,9 +8,15 @@ weighted sum is scored by a logistic unit. Only document labels train it.
 
 Bound: the model is fitted on at most ``max_train`` labelled documents (the ones with
 the smallest hash of doc_id, each once: with the more frequent of its labels, the larger
-one of a tie, and of its rows the text with the smallest hash; of a long one ``MAX_PASSAGES`` passages, evenly spaced); every document of the table is scored over its whole
-text. Nulls and texts without words are a bag of one passage without counts; ties and
-repeated rows get equal scores. Columns other than the id and the text are ignored.
+one of a tie, and of its rows the text with the smallest hash), each over its whole text;
+the driver holds the non-zero features of their passages, about 50 bytes each. Every
+document of the table is scored over its whole text, a passage at a time.
+
+Nulls and texts without words are a bag of one passage without counts. Null ids train
+nothing and are scored. Texts of any length are taken whole. Ties and repeated rows get
+equal scores. With labels of one class or none, all scores are 0.5; an empty table gives
+no rows. Columns other than the id and the text are ignored; those of ``keep_good`` keep
+their values, whatever they are called.
 """
 
 from __future__ import annotations
@@ -28,8 +34,6 @@ from . import scratch as S
 from .textbytes import blocks, word_hashes, word_spans
 
 PASSAGE_WORDS = 32
-#: Of a longer training document so many passages, evenly spaced, are used in the fit; scoring uses all.
-MAX_PASSAGES = 128
 #: Bytes of the same class count alike; all others are one class more.
 CLASSES = (bytes(range(97, 123)), bytes(range(65, 91)), b"0123456789", b" \t\n\v\f\r", bytes(range(128, 256)), b".,", b"!?", b"|", b"%", b"&", b"*", b"#$", b"<>", b"-_'\"", b"/:;()=+@")
 N_CLASS = len(CLASSES) + 1
@@ -106,11 +110,50 @@ class Model:
         return self.forward(x, count)["score"] if len(count) else np.zeros(0)
 
 
-def train(bags: list[np.ndarray], y: np.ndarray, width: int = 24, epochs: int = 40, batch: int = 48, rate: float = 0.004, decay: float = 1e-4, seed: int = 7) -> Model:
-    """Adam on the log loss of documents; back-propagates through the attention weights."""
+_REST = N_FEATURES - N_CLASS * N_CLASS
+
+
+def packed(x: np.ndarray) -> bytes:
+    """A bag's features without their zeros: number of passages, pairs of each, their places and values, other features."""
+    pairs = x[:, :-_REST]
+    row, place = np.nonzero(pairs)
+    count = np.bincount(row, minlength=len(x)).astype("<u2")
+    return np.array([len(x)], "<u4").tobytes() + count.tobytes() + place.astype("<u2").tobytes() + pairs[row, place].astype("<f2").tobytes() + x[:, -_REST:].astype("<f2").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    count = np.frombuffer(raw, "<u2", n, 4).astype(np.int64)
+    m, at = int(count.sum()), 4 + 2 * n
+    out = np.zeros((n, N_FEATURES), np.float32)
+    out[np.repeat(np.arange(n), count), np.frombuffer(raw, "<u2", m, at)] = np.frombuffer(raw, "<f2", m, at + 2 * m)
+    out[:, -_REST:] = np.frombuffer(raw, "<f2", n * _REST, at + 4 * m).reshape(n, _REST)
+    return out
+
+
+def gradients(p: dict[str, np.ndarray], xs: np.ndarray, cs: np.ndarray, ys: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean log loss of the bags (xs, cs passages each) with labels ys, by the parameters; through the attention weights."""
+    s = Model(p["w"], p["v"], p["u"], p["a"], p["c"], float(p["c0"][0])).forward(xs, cs)
+    d = ((s["score"] - ys) / len(ys)).astype(p["w"].dtype)
+    grad = {"c": s["z"].T @ d, "c0": np.array([d.sum()])}
+    dz = (d[:, None] * p["c"])[s["bag"]]
+    dw = (dz * s["h"]).sum(1)
+    de = s["weight"] * (dw - np.add.reduceat(s["weight"] * dw, s["at"])[s["bag"]])
+    tg = s["t"] * s["g"]
+    grad["a"] = tg.T @ de
+    dtg = de[:, None] * p["a"]
+    dt, dg = dtg * s["g"] * (1 - s["t"] ** 2), dtg * s["t"] * s["g"] * (1 - s["g"])
+    grad["v"], grad["u"] = s["h"].T @ dt, s["h"].T @ dg
+    dh = s["weight"][:, None] * dz + dt @ p["v"].T + dg @ p["u"].T
+    grad["w"] = xs.T @ (dh * (1 - s["h"] ** 2))
+    return grad
+
+
+def train(bags: list[np.ndarray] | list[bytes], y: np.ndarray, width: int = 24, epochs: int = 40, batch: int = 48, rate: float = 0.004, decay: float = 1e-4, seed: int = 7) -> Model:
+    """Adam on the log loss of documents; bags are features of passages, or ``packed`` ones that are unpacked for each step."""
     rng = np.random.default_rng(seed)
-    f = bags[0].shape[1]
-    count = np.array([len(x) for x in bags])
+    full = lambda x: unpacked(x) if isinstance(x, bytes) else x
+    f = full(bags[0]).shape[1]
     p = {"w": rng.normal(0, 1.5 / np.sqrt(24), (f, width)), "v": rng.normal(0, 0.3, (width, width)), "u": rng.normal(0, 0.3, (width, width)), "a": rng.normal(0, 0.3, width), "c": rng.normal(0, 0.3, width), "c0": np.zeros(1)}
     p = {k: q.astype(np.float32) for k, q in p.items()}
     m1 = {k: np.zeros_like(q) for k, q in p.items()}
@@ -120,21 +163,9 @@ def train(bags: list[np.ndarray], y: np.ndarray, width: int = 24, epochs: int =
         order = rng.permutation(len(y))
         for lo in range(0, len(y), batch):
             pick = order[lo : lo + batch]
-            xs = np.concatenate([bags[i] for i in pick]).astype(np.float32)
-            cs, ys = count[pick], y[pick]
-            s = Model(p["w"], p["v"], p["u"], p["a"], p["c"], float(p["c0"][0])).forward(xs, cs)
-            d = ((s["score"] - ys) / len(pick)).astype(np.float32)
-            grad = {"c": s["z"].T @ d, "c0": np.array([d.sum()])}
-            dz = (d[:, None] * p["c"])[s["bag"]]
-            dw = (dz * s["h"]).sum(1)
-            de = s["weight"] * (dw - np.add.reduceat(s["weight"] * dw, s["at"])[s["bag"]])
-            tg = s["t"] * s["g"]
-            grad["a"] = tg.T @ de
-            dtg = de[:, None] * p["a"]
-            dt, dg = dtg * s["g"] * (1 - s["t"] ** 2), dtg * s["t"] * s["g"] * (1 - s["g"])
-            grad["v"], grad["u"] = s["h"].T @ dt, s["h"].T @ dg
-            dh = s["weight"][:, None] * dz + dt @ p["v"].T + dg @ p["u"].T
-            grad["w"] = xs.T @ (dh * (1 - s["h"] ** 2))
+            some = [full(bags[i]) for i in pick]
+            xs, cs, ys = np.concatenate(some).astype(np.float32), np.array([len(x) for x in some]), y[pick]
+            grad = gradients(p, xs, cs, ys)
             step += 1
             r = rate * (1 if epoch < epochs * 0.7 else 0.2)
             for k, g in grad.items():
@@ -156,8 +187,8 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, data, offsets in blocks(b.column(0)):
             x, count = encode(data, offsets)
             at = np.concatenate(([0], np.cumsum(count)))
-            some = [x[at[i] : at[i + 1]][np.unique(np.linspace(0, count[i] - 1, min(count[i], MAX_PASSAGES)).astype(int))] for i in range(hi - lo)]
-            yield pa.RecordBatch.from_arrays([pa.array([s.astype(np.float16).tobytes() for s in some], pa.binary()), pa.array(label[lo:hi].astype(np.float64))], ["x", "y"])
+            some = [packed(x[at[i] : at[i + 1]]) for i in range(hi - lo)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array(label[lo:hi].astype(np.float64))], ["x", "y"])
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_train: int = 3000, target: str = "quality") -> Model | None:
@@ -170,17 +201,16 @@ def fit(documents: DataFrame, labels: DataFrame, max_train: int = 3000, target:
     texts = documents.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("id"))
     texts = texts.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m")).select(F.col("m.text").alias("text"), "y", "id")
     bags = texts.repartition(S.partitions(documents.sparkSession), "id").select("text", "y").mapInArrow(_encoded, "x binary, y double")
-    rows = bags.collect()
-    rows.sort(key=lambda r: (bytes(r.x), r.y))
-    y = np.array([r.y for r in rows])
+    rows = sorted((bytes(r.x), r.y) for r in bags.toLocalIterator())
+    y = np.array([r[1] for r in rows])
     if len(set(y)) < 2:
         return None
-    return train([np.frombuffer(r.x, np.float16).reshape(-1, N_FEATURES) for r in rows], y)
+    return train([r[0] for r in rows], y)
 
 
-def score(documents: DataFrame, model: Model | None, prior: float = 0.5) -> DataFrame:
-    """documents with a column ``quality_score`` (replacing one of that name); prior is the score without a model."""
-    kept = documents.drop("quality_score")
+def score(documents: DataFrame, model: Model | None, prior: float = 0.5, out: str = "quality_score") -> DataFrame:
+    """documents with a column ``out`` (replacing one of that name); prior is the score without a model."""
+    kept = documents.drop(out)
     place = kept.columns.index("text")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,9 +219,9 @@ def score(documents: DataFrame, model: Model | None, prior: float = 0.5) -> Data
             if model is not None:
                 for lo, hi, data, offsets in blocks(b.column(place)):
                     got[lo:hi] = model.scores(*encode(data, offsets))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got)], [*b.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got)], [*b.schema.names, out])
 
-    schema = T.StructType([*kept.schema.fields, T.StructField("quality_score", T.DoubleType())])
+    schema = T.StructType([*kept.schema.fields, T.StructField(out, T.DoubleType())])
     S.ship(documents.sparkSession)
     return kept.mapInArrow(scored, schema)
 
@@ -207,5 +237,8 @@ def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, ma
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, max_train: int = 3000) -> DataFrame:
     """The rows of documents that the classifier doesn't reject, columns unchanged."""
     S.ship(documents.sparkSession)
-    got = score(documents, fit(documents, labels, max_train))
-    return got.where(F.col("quality_score") >= threshold).select(*documents.columns)
+    own = "quality_score"
+    while own in documents.columns:
+        own = f"_{own}"
+    got = score(documents, fit(documents, labels, max_train), out=own)
+    return got.where(F.col(own) >= threshold).select(*documents.columns)

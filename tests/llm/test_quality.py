@@ -36,6 +36,7 @@ def test_odd_rows_and_columns(spark):
     assert len({r.score for r in got if r.doc_id == 5}) == 1
     kept = quality.keep_good(df, labels)
     assert kept.columns == df.columns
+    assert {r.quality_score for r in kept.collect()} == {0.5}
 
 
 def test_no_labels_and_empty_table(spark):
@@ -45,6 +46,39 @@ def test_no_labels_and_empty_table(spark):
     assert quality.classify(df.limit(0), none).count() == 0
 
 
+def plain_score(p, passages):
+    """Gated attention of one bag, by sums over its passages."""
+    h = [np.tanh(p["w"].T @ x) for x in passages]
+    e = [p["a"] @ (np.tanh(p["v"].T @ k) / (1 + np.exp(-(p["u"].T @ k)))) for k in h]
+    share = np.exp(e) / np.exp(e).sum()
+    return 1 / (1 + np.exp(-(p["c"] @ sum(s * k for s, k in zip(share, h, strict=True)) + p["c0"][0])))
+
+
+def test_scores_and_gradients_equal_plain_version():
+    r = np.random.default_rng(2)
+    p = {"w": r.normal(size=(6, 4)), "v": r.normal(size=(4, 4)), "u": r.normal(size=(4, 4)), "a": r.normal(size=4), "c": r.normal(size=4), "c0": np.array([0.3])}
+    bags, y = [r.normal(size=(k, 6)) for k in (1, 3, 7, 2)], np.array([1.0, 0.0, 0.0, 1.0])
+    x, count = np.concatenate(bags), np.array([len(b) for b in bags])
+    got = quality.Model(p["w"], p["v"], p["u"], p["a"], p["c"], 0.3).scores(x, count)
+    assert np.allclose(got, [plain_score(p, b) for b in bags])
+    loss = lambda q: -np.mean([np.log(s if t else 1 - s) for s, t in zip([plain_score(q, b) for b in bags], y, strict=True)])
+    grad = quality.gradients(p, x, count, y)
+    for name, value in p.items():
+        for at in np.ndindex(value.shape):
+            up, down = ({k: v.copy() for k, v in p.items()} for _ in range(2))
+            up[name][at] += 1e-6
+            down[name][at] -= 1e-6
+            assert np.isclose(grad[name][at], (loss(up) - loss(down)) / 2e-6, atol=1e-6), (name, at)
+
+
+def test_packed_bags_hold_whole_documents():
+    data = np.frombuffer(b"Plain words, in 3 calm lines!\n" * 4000, np.uint8)
+    x, count = quality.encode(data, np.array([0, len(data)]))
+    assert count[0] > 700
+    assert np.allclose(quality.unpacked(quality.packed(x)), x, atol=2e-3)
+    assert len(quality.packed(x)) < 200 * count[0]
+
+
 def test_gradients():
     """Analytic training lowers the loss; attention weights of a bag sum to 1."""
     r = np.random.default_rng(0)
