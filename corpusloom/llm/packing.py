@@ -4,16 +4,20 @@ Documents are dealt into groups of bounded size by a hash of their id, and each
 is packed by itself, longest item first:
 
 * an item goes to the open bin with the least room that still holds it (best fit);
-* if none holds it, a bin of the permitted length with the least cost is opened. The
-  cost of a length is (length + per_bin) for each token that it can be expected to
-  hold, min(length, tokens not placed yet): the longest, until few tokens are left;
+* if none holds it, a bin of the permitted length with the least cost is opened. A
+  sequence costs its tokens, a share of them that grows with its length (attention is
+  quadratic: length / attention), and a fixed part (per_bin); the least cost for each
+  token that the bin can be expected to hold, min(length, tokens not placed yet), wins.
+  So short items open middling bins, long ones the length that they need;
 * at the end every bin shrinks to the shortest permitted length that holds its contents.
 
 An item longer than the longest length is cut into pieces, all of them placed. Null and
-empty texts have no tokens and get one row with null bin columns. Repeated rows are
-items of their own; ties go by (doc_id, copy, piece). An empty table gives no rows.
-Groups hold about ``group_docs`` documents, so memory doesn't grow with the table, and
-a lost executor's groups are packed again to the same bins.
+empty texts have no tokens and get one row with null bin columns. Null ids are items like
+others. Repeated rows are items of their own; ties go by (doc_id, copy, piece). An empty
+table gives no rows. Extra columns are ignored. Rows are dealt into groups by a hash of
+their id and place in the input, so that repeated rows spread: a group holds about
+``group_docs`` of them, memory doesn't grow with the table, and a lost executor's groups
+are packed again to the same bins.
 """
 
 from __future__ import annotations
@@ -32,10 +36,17 @@ from . import scratch as S
 from .textbytes import blocks, word_spans
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
+#: Fixed cost of a sequence, in tokens, and the length at which attention costs as much as all the rest.
+PER_BIN, ATTENTION = 64, 32_768
 OUT = "doc_id long, piece int, piece_tokens long, bin_id string, bin_length int, bin_offset int, bin_tokens int"
 
 
-def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, per_bin: int = 64) -> tuple[list[tuple[int, int]], list[int]]:
+def cost(length: int, per_bin: int = PER_BIN, attention: int = ATTENTION) -> float:
+    """Of one sequence."""
+    return length + length * length / attention + per_bin
+
+
+def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, per_bin: int = PER_BIN, attention: int = ATTENTION) -> tuple[list[tuple[int, int]], list[int]]:
     """((bin, offset) of each size, length of each bin). Sizes are between 1 and the longest length.
 
     Larger sizes first, equal ones by place. Open bins are kept sorted by room, so each
@@ -52,7 +63,7 @@ def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, per_bin: int = 64
         if k < len(room):
             _, b = room.pop(k)
         else:
-            best = min((x for x in lengths if x >= size), key=lambda x: ((x + per_bin) / min(x, left), x))
+            best = min((x for x in lengths if x >= size), key=lambda x: (cost(x, per_bin, attention) / min(x, left), x))
             b = len(opened)
             opened.append(best)
             held.append(0)
@@ -78,7 +89,7 @@ def count_words(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(counted, "doc_id long, n_tokens long")
 
 
-def pack_table(sized: DataFrame, lengths: tuple[int, ...] = LENGTHS, per_bin: int = 64, group_docs: int = 20_000, n_docs: int | None = None) -> DataFrame:
+def pack_table(sized: DataFrame, lengths: tuple[int, ...] = LENGTHS, per_bin: int = PER_BIN, group_docs: int = 20_000, n_docs: int | None = None) -> DataFrame:
     """One row for each piece of each row of sized(doc_id, n_tokens)."""
     n = sized.count() if n_docs is None else n_docs
     groups = max(1, math.ceil(n / group_docs))
@@ -106,9 +117,9 @@ def pack_table(sized: DataFrame, lengths: tuple[int, ...] = LENGTHS, per_bin: in
         return out
 
     S.ship(sized.sparkSession)
-    keyed = sized.select(F.col("doc_id").cast("long"), F.col("n_tokens").cast("long"), F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("n_tokens").cast("long")), F.lit(groups)).alias("g"))
+    keyed = sized.select(F.col("doc_id").cast("long"), F.col("n_tokens").cast("long"), F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.monotonically_increasing_id()), F.lit(groups)).alias("g"))
     return keyed.groupBy("g").applyInPandas(packed, OUT)
 
 
-def pack_documents(documents: DataFrame, lengths: tuple[int, ...] = LENGTHS, per_bin: int = 64, group_docs: int = 20_000) -> DataFrame:
+def pack_documents(documents: DataFrame, lengths: tuple[int, ...] = LENGTHS, per_bin: int = PER_BIN, group_docs: int = 20_000) -> DataFrame:
     return pack_table(count_words(documents), lengths, per_bin, group_docs, documents.count())

@@ -12,7 +12,7 @@ def plain_pack(sizes, lengths, per_bin):
         if fits:
             b = min(fits)[1]
         else:
-            best = min((x for x in lengths if x >= sizes[i]), key=lambda x: ((x + per_bin) / min(x, left), x))
+            best = min((x for x in lengths if x >= sizes[i]), key=lambda x: ((x + x * x / packing.ATTENTION + per_bin) / min(x, left), x))
             b = len(room)
             room.append(best)
             opened.append(best)
@@ -35,6 +35,28 @@ def test_bins_shrink():
     assert packing.pack([5], (8, 64), 64) == ([(0, 0)], [8])
 
 
+def test_several_lengths_beat_each_alone():
+    """Total cost of the bins as they are in the end, against the same packing with the longest length only."""
+    r = random.Random(5)
+    for mu in (4.5, 5.5, 6.5, 7.5):
+        sizes = [min(8192, max(1, int(r.lognormvariate(mu, 1.2)))) for _ in range(4000)]
+        total = lambda lengths: sum(packing.cost(x) for x in packing.pack(sizes, lengths)[1])  # noqa: B023, E731
+        assert total(packing.LENGTHS) < total((8192,))
+        _, opened = packing.pack(sizes, packing.LENGTHS)
+        # What is opened: each length but for what shrinks in the end.
+        assert len(set(opened)) >= 3
+        # Any length that holds all sizes, alone.
+        longest = max(sizes)
+        assert all(total(packing.LENGTHS) < total((x,)) for x in packing.LENGTHS if x >= longest)
+
+
+def test_repeated_rows_spread(spark):
+    df = spark.range(3000).selectExpr("7L as doc_id", "'a b c' as text")
+    got = packing.pack_documents(df, (4, 8), 1, group_docs=300).collect()
+    groups = {x.bin_id.split("-")[0] for x in got}
+    assert len(got) == 3000 and len(groups) == 10
+
+
 def check(rows, sizes, lengths):
     bins, by_doc = {}, {}
     for r in rows:
