@@ -21,7 +21,9 @@ words with A-Z lower-cased). Two documents link when 100 * |x & y| >= percent *
 Null or empty texts and texts without words have an empty set and link with nothing;
 fewer words than n make one shingle of the whole sequence. Rows with a null doc_id get
 their set size and a null component. Rows that repeat a doc_id are one node of the
-graph, each of their sets searched. Extra columns are ignored. Groups of a query are salted by ``SALT`` members.
+graph, each of their sets searched. Texts of any length are taken whole; an empty table
+gives no rows. Extra columns are ignored, and kept unchanged by ``keep_one``. Groups of a
+query are salted by ``SALT`` members.
 """
 
 from __future__ import annotations
@@ -482,5 +484,8 @@ def keep_one(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     Of rows that repeat a doc_id in such a component all stay or all go."""
     join = NgramJoin(documents, n, percent)
-    gone = join.scratch.save(join.rows().where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return documents.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = join.scratch.save(join.rows().where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    # Qualified, so that no other column's name can clash.
+    left, right = documents.alias("_all"), gone.alias("_gone")
+    right = F.broadcast(right) if gone.count() <= BROADCAST_IDS else right
+    return left.join(right, F.col("_all.doc_id") == F.col("_gone.doc_id"), "left_anti")

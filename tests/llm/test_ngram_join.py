@@ -51,6 +51,14 @@ def test_null_ids_repeats_and_extra_columns(spark):
     assert sorted(r.n for r in kept.collect()) == [1, 4, 5]
 
 
+def test_keep_one_clashing_names(spark):
+    names = ("gone", "rep", "component_id", "n_shingles", "id", "_all", "_gone")
+    rows = [(1, "a b c d", *[f"{c}1" for c in names]), (2, "a b c d", *[f"{c}2" for c in names]), (3, "x y z", *[f"{c}3" for c in names])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    kept = ngram_join.keep_one(df, 3, 90)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
 def test_empty_table(spark):
     assert ngram_join.ngram_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
