@@ -9,10 +9,13 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.tables import LANGUAGE_CODES
+from ..functions.text import strip
+from .prompt import prompt
 
 DIRECTIONS = ("inga2es", "es2inga")
 
@@ -84,3 +87,29 @@ def translate(df: DataFrame, prompt: str, direction: str, translator: Translator
     """df with the translator's answers to a prompt column."""
     check_direction(direction)
     return _mapped(df, out, T.StringType(), lambda p: translator(p[prompt].fillna("").tolist(), direction), batch)
+
+
+def _parsed(name: str, kind: str) -> Column:
+    return F.transform(F.col(name), lambda r: F.from_json(r, kind)).alias(name)
+
+
+def translate_with_retrieval(sentences: DataFrame, direction: str, indexes: dict[str, DataFrame], embedder: Embedder, translator: Translator, top_k: int = 5, use_context: bool = True) -> DataFrame:
+    """sentences(query_id, sentence) with ``hyp``: the context is retrieved, the prompt built and answered, white space at the ends stripped.
+
+    Examples come from the index of the direction's source side (ejemplos or ejemplos_es)."""
+    from .vector import retrieve
+
+    check_direction(direction)
+    asked = sentences
+    if use_context:
+        examples = "ejemplos" if direction == "inga2es" else "ejemplos_es"
+        kinds = {"lexico": "lema string, cat string, glosa string", "gramatical": "fuente string, text string", examples: "texto_inga string, texto_es string"}
+        queries = embed(sentences, "sentence", embedder).select("query_id", F.col("vector").alias("query_vector"))
+        found = retrieve({k: indexes[k] for k in kinds}, queries, top_k).drop("total")
+        records = [_parsed(k, kind) for k, kind in kinds.items()]
+        asked = sentences.join(found.select("query_id", *records), "query_id", "left")
+        context = {"lexicon": F.col("lexico"), "grammar": F.col("gramatical"), "examples": F.col(examples)}
+        asked = asked.withColumn("_prompt", prompt(F.col("sentence"), direction, **context)).drop(*kinds)
+    else:
+        asked = asked.withColumn("_prompt", prompt(F.col("sentence"), direction))
+    return translate(asked, "_prompt", direction, translator).withColumn("hyp", strip(F.col("hyp"))).drop("_prompt")

@@ -10,8 +10,10 @@ from ..shared import settled
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key, by an order that leaves no ties."""
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_n", first).where("_n = 1").drop("_n")
+    # A minimum combines before the shuffle, so a key with most of the rows is no hot task.
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    least = F.min(F.struct(*order, *rest)).alias("_least")
+    return df.groupBy(*keys).agg(least).select(*[F.col(c) if c in keys else F.col("_least")[c].alias(c) for c in df.columns])
 
 
 def align(left: DataFrame, right: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -51,7 +53,10 @@ def shuffled(key: str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
 
 
-def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+def sample(df: DataFrame, key: str, n: int, seed: int = 42, strict: bool = False) -> DataFrame:
+    """n rows; of fewer rows all, or with ``strict`` ValueError."""
+    if strict and df.limit(n).count() < n:
+        raise ValueError(f"a sample of {n} needs as many rows")
     return df.orderBy(shuffled(key, seed), key).limit(n)
 
 
@@ -83,3 +88,9 @@ def shared_words(a: Column, b: Column) -> Column:
 def union_numbered(left: DataFrame, right: DataFrame, order: list[str]) -> DataFrame:
     """Union by name with fresh numbers."""
     return number(left.unionByName(right, allowMissingColumns=True), order)
+
+
+def finished(pairs: DataFrame, book: str, dialect: str, source: str, order: list[str]) -> DataFrame:
+    """Numbered rows in the shape of the parallel corpus of pairs(articulo, sub_idx, texto_inga, texto_es): articles as chapters, items as verses."""
+    named = pairs.select(F.lit(book).alias("libro"), F.col("articulo").alias("capitulo"), F.col("sub_idx").alias("versiculo"), "texto_inga", "texto_es", F.lit(dialect).alias("dialecto"), F.lit(source).alias("fuente"), *[F.col(c).alias(f"_{c}") for c in order])
+    return number(named, [f"_{c}" for c in order]).drop(*[f"_{c}" for c in order])

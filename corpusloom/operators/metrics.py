@@ -1,7 +1,4 @@
-"""Corpus BLEU and chrF++ as aggregations of clipped n-gram counts.
-
-Counts are made inside each row (sorted arrays and map-free folds), so the only shuffle
-is the final sum over rows, a handful of numbers from each task."""
+"""Corpus BLEU and chrF++ as aggregations of clipped n-gram counts."""
 
 from __future__ import annotations
 
@@ -26,33 +23,25 @@ def ngrams(a: Column, n: int, sep: str = " ") -> Column:
     return F.transform(places, lambda i: F.array_join(F.slice(a, i, n), sep))
 
 
-def _numbered(a: Column) -> Column:
-    """Each item with how many equal ones came before it, so that clipped matches are a set intersection.
-
-    Sorted first, runs are counted by one fold."""
-    start = F.struct(F.lit("").alias("last"), F.lit(-1).alias("k"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        k = F.when((acc["last"] == x) & (acc["k"] >= 0), acc["k"] + 1).otherwise(F.lit(0))
-        return F.struct(x.alias("last"), k.alias("k"), F.concat(acc["out"], F.array(F.concat(x, F.lit("\u0001"), k.cast("string")))).alias("out"))
-
-    return F.aggregate(F.array_sort(a), start, step, lambda acc: acc["out"])
-
-
-def clipped_matches(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(_numbered(a), _numbered(b)))
-
-
 def ngram_statistics(pairs: DataFrame, ref: str, hyp: str, order: int, split: str = "words") -> DataFrame:
-    """One row: matches, hypothesis and reference n-grams of each order up to the given one, and both lengths."""
+    """One row: matches, hypothesis and reference n-grams of each order up to the given one, and both lengths.
+
+    Rows are dealt once, as texts; their n-grams are then counted within the same
+    partitions, so the work is linear in the texts and no n-gram is shuffled."""
     cut = {"words": lambda c: F.filter(F.split(c, r"\s+"), lambda t: t != ""), "13a": tokenize_13a, "chars": lambda c: F.filter(F.split(F.regexp_replace(c, r"\s+", ""), ""), lambda t: t != "")}[split]
     sep = "" if split == "chars" else " "
-    rows = pairs.select(cut(F.coalesce(ref, F.lit(""))).alias("r"), cut(F.coalesce(hyp, F.lit(""))).alias("h"))
-    sums = []
-    for n in range(1, order + 1):
-        r, h = ngrams(F.col("r"), n, sep), ngrams(F.col("h"), n, sep)
-        sums += [F.sum(clipped_matches(r, h)).alias(f"m{n}"), F.sum(F.size(h)).alias(f"h{n}"), F.sum(F.size(r)).alias(f"r{n}")]
-    return rows.agg(*sums, F.sum(F.size("h")).alias("hyp_len"), F.sum(F.size("r")).alias("ref_len"))
+    rows = pairs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(ref, F.lit("")).alias("r"), F.coalesce(hyp, F.lit("")).alias("h")).repartition("row")
+    rows = rows.select("row", cut(F.col("r")).alias("r"), cut(F.col("h")).alias("h"))
+
+    def of(side: str, n: int, r: int, h: int) -> Column:
+        return F.transform(ngrams(F.col(side), n, sep), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(r).alias("r"), F.lit(h).alias("h")))
+
+    every = [of(side, n, r, h) for side, r, h in (("r", 1, 0), ("h", 0, 1)) for n in range(1, order + 1)]
+    grams = rows.select("row", F.explode(F.concat(*every)).alias("x")).select("row", "x.*")
+    counts = grams.groupBy("row", "n", "g").agg(F.sum("r").alias("r"), F.sum("h").alias("h"))
+    total = lambda n, x: F.coalesce(F.sum(F.when(F.col("n") == n, x)), F.lit(0)).cast("long")
+    sums = [total(n, x).alias(f"{k}{n}") for n in range(1, order + 1) for k, x in (("m", F.least("r", "h")), ("h", F.col("h")), ("r", F.col("r")))]
+    return counts.agg(*sums, total(1, F.col("h")).alias("hyp_len"), total(1, F.col("r")).alias("ref_len"))
 
 
 def bleu(pairs: DataFrame, ref: str, hyp: str, split: str = "13a") -> DataFrame:
@@ -74,9 +63,12 @@ def bleu(pairs: DataFrame, ref: str, hyp: str, split: str = "13a") -> DataFrame:
 
 def chrf(pairs: DataFrame, ref: str, hyp: str, chars: int = 6, word_order: int = 2, beta: float = 2.0) -> DataFrame:
     """One row: chrf (0 to 100): F-beta of each order of characters and words, averaged over the orders that occur on both sides."""
-    c = ngram_statistics(pairs, ref, hyp, chars, "chars")
-    w = ngram_statistics(pairs.select(words_apart(ref).alias("r"), words_apart(hyp).alias("h")), "r", "h", word_order, "words")
-    both = c.select(*[F.col(f"{k}{n}").alias(f"c{k}{n}") for k in "mhr" for n in range(1, chars + 1)]).crossJoin(w.select(*[F.col(f"{k}{n}").alias(f"w{k}{n}") for k in "mhr" for n in range(1, word_order + 1)]))
+    named = lambda df, p, top: df.select(*[F.col(f"{k}{n}").alias(f"{p}{k}{n}") for k in "mhr" for n in range(1, top + 1)])
+    both = named(ngram_statistics(pairs, ref, hyp, chars, "chars"), "c", chars)
+    if word_order:
+        apart = pairs.select(words_apart(ref).alias("r"), words_apart(hyp).alias("h"))
+        # Two single rows side by side.
+        both = both.crossJoin(named(ngram_statistics(apart, "r", "h", word_order, "words"), "w", word_order))
     scores, used = [], []
     for p, n in [("c", n) for n in range(1, chars + 1)] + [("w", n) for n in range(1, word_order + 1)]:
         m, h, r = (F.col(f"{p}{k}{n}").cast("double") for k in "mhr")
@@ -107,6 +99,22 @@ def greedy_match_f1(a: Column, b: Column) -> Column:
     return F.try_divide(2 * p * r, p + r)
 
 
+def all_metrics(pairs: DataFrame, ref: str, hyp: str, match: DataFrame | None = None) -> DataFrame:
+    """One row, rounded to 4 decimals: bleu, chrf and bertscore, the mean of match(f1), a score for each pair; null without it."""
+    mean = F.round(F.avg("f1"), 4).alias("bertscore")
+    score = match.agg(mean) if match is not None else pairs.sparkSession.range(1).select(F.lit(None).cast("double").alias("bertscore"))
+    # Three single rows side by side.
+    both = bleu(pairs, ref, hyp).select(F.round("bleu", 4).alias("bleu")).crossJoin(chrf(pairs, ref, hyp).select(F.round("chrf", 4).alias("chrf")))
+    return both.crossJoin(score)
+
+
+def results_map(long: DataFrame, configs: list[str]) -> DataFrame:
+    """(config, metrics) of long(config, bleu, chrf, bertscore): a null struct where a configuration has no results."""
+    frame = long.sparkSession.createDataFrame([(c, i) for i, c in enumerate(configs)], "config string, place int")
+    metrics = long.select("config", F.struct("bleu", "chrf", "bertscore").alias("metrics"))
+    return frame.join(metrics, "config", "left").orderBy("place").select("config", "metrics")
+
+
 def metrics_grid(long: DataFrame, configs: list[str], metrics: list[str], directions: list[str]) -> DataFrame:
     """(config, one column for each metric and direction) of long(config, direction, metric, value); missing values are 0."""
     cells = [F.coalesce(F.max(F.when((F.col("metric") == m) & (F.col("direction") == d), F.col("value"))), F.lit(0.0)).alias(f"{m}_{d}") for m in metrics for d in directions]

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .adapters import Embedder, embed
 
@@ -21,11 +27,44 @@ def build_index(records: DataFrame, text: str, embedder: Embedder, path: str) ->
     return records.sparkSession.read.parquet(path).count()
 
 
+#: Index rows in a shard and queries in a block; a task multiplies one with one.
+SHARD, BLOCK = 50_000, 2048
+
+
+def _nearest(k: int, key: str, query_key: str):
+    """The k nearest of a shard's rows for each query of a block."""
+
+    def run(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        x = np.stack(rows["vector"].to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, 0))
+        others = rows.drop(columns=["vector", "_s", "_b"])
+        for q in asked.itertuples():
+            if len(x) and len(getattr(q, "query_vector")) == x.shape[1]:
+                distance = ((x - np.asarray(q.query_vector, np.float64)) ** 2).sum(1)
+                near = np.lexsort((rows[key].to_numpy(), distance))[:k]
+                out.append(others.iloc[near].assign(**{query_key: getattr(q, query_key), "distance": distance[near]}))
+        return pd.concat(out) if out else others.iloc[:0].assign(**{query_key: pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
+
+    return run
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = 5, key: str = "id", query_key: str = "query_id") -> DataFrame:
-    """The k nearest rows of index(key, vector) for each of queries(query_key, query_vector): a stated set, met in a broadcast loop."""
-    met = index.crossJoin(queries).withColumn("distance", squared_distance(F.col("vector"), F.col("query_vector"))).drop("vector", "query_vector")
+    """The k nearest rows of index(key, vector) for each of queries(query_key, query_vector).
+
+    Rows are dealt into shards and queries into blocks; every block meets every shard in a
+    task of bounded size, and only its k best of each query go on to the merge. Rows and
+    queries with null vectors take no part."""
+    index, queries = index.where("vector is not null"), queries.select(query_key, "query_vector").where("query_vector is not null")
+    shards, blocks = max(1, math.ceil(index.count() / SHARD)), max(1, math.ceil(queries.count() / BLOCK))
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = index.withColumn("_s", of(key, shards)).withColumn("_b", every(blocks)).groupBy("_s", "_b")
+    right = queries.withColumn("_b", of(query_key, blocks)).withColumn("_s", every(shards)).groupBy("_s", "_b")
+    fields = [f for f in index.schema.fields if f.name != "vector"]
+    schema = StructType([*fields, queries.schema[query_key], StructField("distance", DoubleType())])
+    found = left.cogroup(right).applyInPandas(_nearest(k, key, query_key), schema)
     near = Window.partitionBy(query_key).orderBy("distance", key)
-    return met.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
 
 
 def search_one(index: DataFrame, vector: list[float], k: int = 5, key: str = "id") -> DataFrame:
@@ -46,11 +85,16 @@ def retrieve(indexes: dict[str, DataFrame], queries: DataFrame, k: int = 5, key:
 
 def retrieve_by_direction(index: DataFrame, queries: DataFrame, routes: dict[str, str], k: int = 5, key: str = "id") -> DataFrame:
     """As search(), in the part of index(index_name, ...) that each query's direction routes to."""
-    route = F.create_map(*[F.lit(x) for pair in routes.items() for x in pair])
-    asked = queries.withColumn("index_name", F.element_at(route, F.col("direction")))
-    met = index.join(asked, "index_name").withColumn("distance", squared_distance(F.col("vector"), F.col("query_vector"))).drop("vector", "query_vector")
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))).where(F.col("rank") <= k)
+    found = [search(index.where(F.col("index_name") == name), queries.where(F.col("direction") == way), k, key).withColumn("direction", F.lit(way)) for way, name in routes.items()]
+    return reduce(DataFrame.unionByName, found)
 
 
 def index_sizes(spark: SparkSession, paths: dict[str, str]) -> dict[str, int]:
     return {name: spark.read.parquet(p).count() for name, p in paths.items()}
+
+
+def index_records(lexicon: DataFrame, grammar: DataFrame, examples: DataFrame) -> dict[str, DataFrame]:
+    """The records of the four indexes, each with the text that is embedded: dictionary entries, grammar chunks, and examples by either side."""
+    entry = F.trim(F.concat(F.coalesce("lema", F.lit("")), F.lit(" ("), F.coalesce("cat", F.lit("")), F.lit("): "), F.coalesce("glosa", F.lit(""))))
+    pair = lambda side: examples.select(F.col(side).alias("text"), "texto_inga", "texto_es", "libro", F.col("capitulo").cast("int").alias("capitulo"), F.col("versiculo").cast("int").alias("versiculo"))
+    return {"lexico": lexicon.select(entry.alias("text"), "lema", "cat", "glosa"), "gramatical": grammar.select("text", "fuente", "chunk_id"), "ejemplos": pair("texto_inga"), "ejemplos_es": pair("texto_es")}

@@ -73,7 +73,7 @@ def group_count(spark, sf_dir):
 @query("SELECT event_type, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, event_type)::INTEGER AS place FROM events GROUP BY event_type")
 def value_counts(spark, sf_dir):
     got = profile.counts(read(spark, sf_dir, "events"), "event_type")
-    return got.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "event_type")))
+    return align.number(got, [F.desc("n"), "event_type"]).select("event_type", "n", (F.col("idx") + 1).cast("int").alias("place"))
 
 
 @query("SELECT count(DISTINCT lang) AS langs, count(DISTINCT source) AS sources, count(DISTINCT text) AS texts FROM documents")
@@ -102,7 +102,7 @@ def histogram_lengths(spark, sf_dir):
   GROUP BY ROLLUP(n_name))""")
 def coverage_report(spark, sf_dir):
     nation = read(spark, sf_dir, "nation")
-    named = read(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name")
+    named = read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name")
     return profile.coverage(nation.select("n_name", F.lit(60).alias("canon_n")), named, "n_name", "canon_n")
 
 
@@ -153,7 +153,7 @@ def align_positional(spark, sf_dir):
 @query("""SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def lookup_join(spark, sf_dir):
     places = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return read(spark, sf_dir, "customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "r_name")
+    return read(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "r_name")
 
 
 PART_ALIASES = {"ring": "ring", "red widget": "red widget", "widget": "widget", "bolt": "bolt", "ECONOMY": "economy"}
@@ -395,7 +395,9 @@ def knn_multi_index(spark, sf_dir):
   x AS (SELECT conv_id, string_agg('- INGA: ' || a || chr(10) || '  ESPANOL: ' || b, chr(10) ORDER BY turn) FILTER (k <= 5) AS ex FROM l GROUP BY 1)
 SELECT conv_id, '{T.PROMPT_EXAMPLES.strip()}' || chr(10) || ex || chr(10) || chr(10) || '{T.PROMPT_HEADS['inga2es']}:' || chr(10) || chr(10) || conv_id AS prompt FROM x""")
 def prompt_build(spark, sf_dir):
-    found = pairs(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("a").alias("texto_inga"), F.col("b").alias("texto_es")))).alias("examples"))
+    # Five of each conversation are kept before any are collected.
+    first = pairs(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).where("k <= 5")
+    found = first.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("a").alias("texto_inga"), F.col("b").alias("texto_es")))).alias("examples"))
     return found.select("conv_id", prompt.prompt(F.col("conv_id").cast("string"), "inga2es", examples=F.col("examples")).alias("prompt"))
 
 
@@ -437,6 +439,74 @@ def chrf_corpus(spark, sf_dir):
     return metrics.chrf(pairs(spark, sf_dir), "a", "b", word_order=0).select(F.round("chrf", 4).alias("chrf"))
 
 
+def _13a_sql(column: str) -> str:
+    """Tokens as the mteval-13a tokenizer makes them."""
+    x = column
+    for pattern, by in (("<skipped>", ""), ("-\\n", ""), ("\\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+    x = f"' ' || {x} || ' '"
+    for pattern, by in ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+    return _w(x)
+
+
+def _apart_sql(column: str) -> str:
+    """Words with the mark at their end (or else start) set apart."""
+    mark = r"[!-/:-@\[-`{-~]"
+    one = f"CASE WHEN length(t) = 1 THEN t WHEN regexp_matches(t, '{mark}$') THEN t[:-2] || ' ' || t[-1] WHEN regexp_matches(t, '^{mark}') THEN t[1] || ' ' || t[2:] ELSE t END"
+    return _w(f"array_to_string(list_transform({_w(column)}, lambda t: {one}), ' ')")
+
+
+def _sides_sql(words_of: Callable[[str], str]) -> str:
+    return f"WITH {PAIRS}, t AS (SELECT conv_id, turn, {words_of('a')} AS wr, {words_of('b')} AS wh, string_split(regexp_replace(a, '\\s+', '', 'g'), '') AS cr, string_split(regexp_replace(b, '\\s+', '', 'g'), '') AS ch FROM pairs)"
+
+
+def _f_sql(x: str) -> str:
+    p, r = f"(s{x}.m::DOUBLE / s{x}.h)", f"(s{x}.m::DOUBLE / s{x}.r)"
+    return f"CASE WHEN s{x}.h > 0 AND s{x}.r > 0 THEN coalesce(5 * {p} * {r} / nullif(4 * {p} + {r}, 0), 0) ELSE 0 END"
+
+
+_BLEU_13A = ORACLE["bleu_corpus"].replace(GRAMS, _sides_sql(_13a_sql))
+_ORDERS = [f"c{n}" for n in range(1, 7)] + ["w1", "w2"]
+_CHRF_PP = (
+    _sides_sql(_apart_sql) + ", " + ", ".join(_gram_sql(x[0], int(x[1])) for x in _ORDERS)
+    + " SELECT round(100 * (" + " + ".join(map(_f_sql, _ORDERS)) + ") / (" + " + ".join(f"(s{x}.h > 0 AND s{x}.r > 0)::INTEGER" for x in _ORDERS) + "), 4) AS chrf FROM " + ", ".join(f"s{x}" for x in _ORDERS)
+)
+
+
+@query(_BLEU_13A)
+def bleu_13a_corpus(spark, sf_dir):
+    return metrics.bleu(pairs(spark, sf_dir), "a", "b").select(F.round("bleu", 4).alias("bleu"))
+
+
+@query(_CHRF_PP)
+def chrf_pp_corpus(spark, sf_dir):
+    return metrics.chrf(pairs(spark, sf_dir), "a", "b").select(F.round("chrf", 4).alias("chrf"))
+
+
+@query(f"SELECT bleu, chrf, CAST(NULL AS DOUBLE) AS bertscore FROM ({_BLEU_13A}), ({_CHRF_PP})")
+def all_metrics(spark, sf_dir):
+    return metrics.all_metrics(pairs(spark, sf_dir), "a", "b")
+
+
+@query(f"""WITH {PAIRS} SELECT k AS index_name, text, turn::INTEGER AS versiculo FROM (SELECT 'ejemplos' AS k, a AS text, turn FROM pairs UNION ALL SELECT 'ejemplos_es', b, turn FROM pairs
+UNION ALL SELECT 'lexico', trim(coalesce(a, '') || ' (user): ' || coalesce(b, '')), NULL FROM pairs)""")
+def index_records(spark, sf_dir):
+    found = pairs(spark, sf_dir)
+    lexicon = found.select(F.col("a").alias("lema"), F.lit("user").alias("cat"), F.col("b").alias("glosa"))
+    grammar = found.select(F.col("a").alias("text"), F.lit("x").alias("fuente"), F.col("turn").alias("chunk_id"))
+    examples = found.select(F.col("a").alias("texto_inga"), F.col("b").alias("texto_es"), F.lit("x").alias("libro"), F.col("conv_id").alias("capitulo"), F.col("turn").alias("versiculo"))
+    got = vector.index_records(lexicon, grammar, examples)
+    rows = [got[k].select(F.lit(k).alias("index_name"), "text", got[k]["versiculo"] if k != "lexico" else F.lit(None).cast("int").alias("versiculo")) for k in ("ejemplos", "ejemplos_es", "lexico")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query(f"""WITH {PAIRS} SELECT (row_number() OVER (ORDER BY conv_id, turn) - 1)::BIGINT AS idx, 'Constitucion' AS libro, conv_id AS capitulo, turn AS versiculo, a AS texto_inga, b AS texto_es, 'AP' AS dialecto, 'conversations' AS fuente FROM pairs""")
+def finished_pairs(spark, sf_dir):
+    found = pairs(spark, sf_dir).select(F.col("conv_id").alias("articulo"), F.col("turn").alias("sub_idx"), F.col("a").alias("texto_inga"), F.col("b").alias("texto_es"))
+    return align.finished(found, "Constitucion", "AP", "conversations", ["articulo", "sub_idx"])
+
+
 @query(f"""WITH {PAIRS}, l AS (SELECT CASE WHEN conv_id % 2 = 0 THEN 'A' ELSE 'B' END AS config, CASE WHEN turn % 2 = 0 THEN 'inga2es' ELSE 'es2inga' END AS direction, len({_w('a')})::DOUBLE AS bleu, length(b)::DOUBLE AS chrf FROM pairs),
   c(config) AS (VALUES ('A'), ('B'), ('C'))
 SELECT config, coalesce(max(bleu) FILTER (direction = 'inga2es'), 0) AS bleu_inga2es, coalesce(max(bleu) FILTER (direction = 'es2inga'), 0) AS bleu_es2inga,

@@ -37,14 +37,27 @@ def read_object(spark: SparkSession, path: str) -> dict:
     return json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
 
 
+def _moved_over(spark: SparkSession, beside: str, path: str) -> None:
+    """Moves what is beside to path; what was there goes only when that is done, and comes back if it fails."""
+    fs, at = _fs(spark, path)
+    new, old = _fs(spark, beside)[1], _fs(spark, f"{path}.old-{uuid.uuid4().hex}")[1]
+    had = fs.exists(at)
+    if had and not fs.rename(at, old):
+        raise OSError(f"can't move {path}")
+    if not fs.rename(new, at):
+        if had:
+            fs.rename(old, at)
+        raise OSError(f"can't move {beside} to {path}")
+    if had:
+        fs.delete(old, True)
+
+
 def upsert_object(spark: SparkSession, path: str, values: dict) -> dict:
     """Sets keys of a file's object: written beside it, then moved over it."""
     merged = read_object(spark, path) | values
     beside = f"{path}.{uuid.uuid4().hex}"
     json_object(spark, beside, merged)
-    fs, at = _fs(spark, path)
-    fs.delete(at, False)
-    fs.rename(_fs(spark, beside)[1], at)
+    _moved_over(spark, beside, path)
     return merged
 
 
@@ -55,9 +68,7 @@ def upsert_table(df: DataFrame, path: str, keys: list[str]) -> None:
         df = spark.read.parquet(path).join(df.select(*keys), keys, "left_anti").unionByName(df)
     beside = f"{path}.{uuid.uuid4().hex}"
     df.write.parquet(beside)
-    fs, at = _fs(spark, path)
-    fs.delete(at, True)
-    fs.rename(_fs(spark, beside)[1], at)
+    _moved_over(spark, beside, path)
 
 
 def keep_version(spark: SparkSession, path: str, stamp: str) -> str | None:

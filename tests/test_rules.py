@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import adapters, align, metrics, profile, prompt, quality, vector
+from corpusloom.operators import adapters, align, metrics, parsing, profile, prompt, quality, vector
 from corpusloom.functions import tables
 
 
@@ -196,3 +196,45 @@ def test_retries():
     assert waits == [5.0, 10.0]
     with pytest.raises(KeyError):
         adapters.retried(lambda: {}["x"], sleep=waits.append)()
+
+
+def test_translate_with_retrieval(spark):
+    embedder = adapters.HashEmbedder(32)
+    lexicon = spark.createDataFrame([("wasi", "s", "casa"), ("runa", "s", "gente")], "lema string, cat string, glosa string")
+    grammar = spark.createDataFrame([("el sufijo kuna es plural", "G", 0)], "text string, fuente string, chunk_id int")
+    examples = spark.createDataFrame([("wasi kuna", "las casas", "Juan", 1, 2), ("runa", "la gente", "Juan", 1, 3)], "texto_inga string, texto_es string, libro string, capitulo long, versiculo long")
+    records = vector.index_records(lexicon, grammar, examples)
+    assert [r.text for r in records["lexico"].orderBy("lema").collect()] == ["runa (s): gente", "wasi (s): casa"]
+    indexes = {k: adapters.embed(df.withColumn("id", F.monotonically_increasing_id()), "text", embedder) for k, df in records.items()}
+    seen = lambda prompts, direction: [f" {p} \n" for p in prompts]
+    asked = spark.createDataFrame([(1, "wasi kuna"), (2, "runa")], "query_id long, sentence string")
+    got = {r.query_id: r.hyp for r in adapters.translate_with_retrieval(asked, "inga2es", indexes, embedder, seen, top_k=1).collect()}
+    assert "- INGA: wasi kuna\n  ESPANOL: las casas" in got[1] and "- runa (s): gente" in got[2] and got[1].endswith("wasi kuna")
+    plain = adapters.translate_with_retrieval(asked, "es2inga", indexes, embedder, seen, use_context=False).collect()
+    assert all("Ejemplos" not in r.hyp for r in plain)
+
+
+def test_metrics_and_results(spark):
+    pairs = spark.createDataFrame([("the cat sat on the mat", "the cat sat on a mat")], "a string, b string")
+    r = metrics.all_metrics(pairs, "a", "b", spark.createDataFrame([(0.5,), (0.25,)], "f1 double")).first()
+    assert r.bertscore == 0.375 and r.bleu == round(r.bleu, 4) and r.chrf > 50
+    got = metrics.results_map(spark.createDataFrame([("A", 1.0, 2.0, 3.0)], "config string, bleu double, chrf double, bertscore double"), ["B", "A"]).collect()
+    assert [(x.config, x.metrics and x.metrics.bleu) for x in got] == [("B", None), ("A", 1.0)]
+
+
+def test_linear_counts(spark):
+    """A long text costs no more a character than a short one: 200,000 characters in a row."""
+    long = "abcde fghij " * 17_000
+    r = metrics.ngram_statistics(spark.createDataFrame([(long, long)], "a string, b string"), "a", "b", 2, "chars").first()
+    assert (r.m1, r.m2, r.hyp_len) == (170_000, 169_999, 170_000)
+
+
+def test_strict_sample(spark):
+    with pytest.raises(ValueError):
+        align.sample(spark.range(3), "id", 4, strict=True)
+    assert align.sample(spark.range(3), "id", 4).count() == 3
+
+
+def test_null_documents(spark):
+    none = spark.createDataFrame([("d", None)], "doc string, value string")
+    assert parsing.parse_old_testament(none).count() == parsing.parse_bilingual(none).count() == 0
