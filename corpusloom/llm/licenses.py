@@ -20,7 +20,8 @@ any length are scanned whole. A text's matches are merged by template: best cont
 and number of matching windows.
 
 Null and empty texts, and texts shorter than a shingle, match nothing and give no rows.
-Repeated rows are scanned each. Columns besides doc_id and text are ignored; a null
+Repeated rows are scanned each; templates that fit equally well (ties) are all given. An
+empty table gives no rows. Columns besides doc_id and text are ignored; a null
 doc_id stays null in its rows.
 """
 

@@ -20,20 +20,23 @@ A-star search, and a heap draws the N best sums over them.
 Normalisation: none of the text is changed or dropped. A space is added in front, as
 the model's own encoder does, and every space becomes the piece mark U+2581. (A text
 that holds U+2581 itself decodes to spaces there.) Null texts have null ids; empty
-ones one empty segmentation. Long words are cut nowhere. Repeated rows are encoded each.
+ones one empty segmentation; null document ids stay null. An empty table gives no rows;
+extra columns are ignored. Long words are cut nowhere. Repeated rows are encoded each.
 """
 
 from __future__ import annotations
 
 import heapq
 import itertools
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -353,14 +356,23 @@ class Pieces:
         return text.removeprefix(" ")
 
 
-#: Models that this worker has read, by path; their tables serve all of its tasks.
-_loaded: dict[str, Pieces] = {}
+#: Models that this worker has parsed, by the file's checksum; their tables serve all of its tasks.
+_loaded: dict[int, Pieces] = {}
 
 
-def loaded(path: str) -> Pieces:
-    if path not in _loaded:
-        _loaded[path] = Pieces.load(path)
-    return _loaded[path]
+def shared(spark: SparkSession, path: str) -> Broadcast:
+    """The model file, some hundred KB, for all workers: only the driver, or else Spark, has to reach it."""
+    if os.path.exists(path):
+        with open(path, "rb") as f:
+            return spark.sparkContext.broadcast(f.read())
+    return spark.sparkContext.broadcast(bytes(spark.read.format("binaryFile").load(path).first()["content"]))
+
+
+def loaded(model: Broadcast) -> Pieces:
+    key = zlib.crc32(model.value)
+    if key not in _loaded:
+        _loaded[key] = Pieces.parse(model.value)
+    return _loaded[key]
 
 
 def _groups(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, list[str | None]]]:
@@ -389,11 +401,12 @@ def _each(pieces: Pieces, b: pa.RecordBatch, n: int) -> Iterator[list[tuple]]:
 def encode(documents: DataFrame, n: int = 4, model: str = MODEL) -> DataFrame:
     """doc_id, rank (from 1), score, ids for the n best segmentations of each text."""
     ship(documents.sparkSession)
+    file = shared(documents.sparkSession, model)
     schema = pa.schema([("doc_id", pa.int64()), ("rank", pa.int32()), ("score", pa.float64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rows in _each(loaded(model), b, n):
+            for rows in _each(loaded(file), b, n):
                 cols = [[r[k] for r in rows] for k in range(3)]
                 cols.append([None if r[3] is None else np.frombuffer(r[3], "<i4") for r in rows])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
@@ -404,11 +417,12 @@ def encode(documents: DataFrame, n: int = 4, model: str = MODEL) -> DataFrame:
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """encoded with ids in place of which there is ``text``; null ids give a null text."""
     ship(encoded.sparkSession)
+    file = shared(encoded.sparkSession, model)
     others = [c for c in encoded.columns if c not in ("ids", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [None if x is None else loaded(model).decode(x) for x in b.column(len(others)).to_pylist()]
+            texts = [None if x is None else loaded(file).decode(x) for x in b.column(len(others)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], pa.array(texts, pa.string())], [*others, "text"])
 
     kept = encoded.select(*others, "ids")
@@ -419,7 +433,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 def round_trip(documents: DataFrame, n: int = 4, model: str = MODEL) -> DataFrame:
     """doc_id, rank, score, n_pieces, ids_hash and whether decoding gives the text back, for the n best of each text."""
     ship(documents.sparkSession)
-
+    file = shared(documents.sparkSession, model)
     schema = pa.schema([("doc_id", pa.int64()), ("rank", pa.int32()), ("score", pa.float64()), ("n_pieces", pa.int64()), ("ids_crc", pa.int64()), ("decodes", pa.bool_())])
 
     def checked(pieces: Pieces, rows: list[tuple]) -> Iterator[tuple]:
@@ -445,7 +459,7 @@ def round_trip(documents: DataFrame, n: int = 4, model: str = MODEL) -> DataFram
             yield doc, rank, score, len(ids) // 4, zlib.crc32(ids), same
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = loaded(model)
+        pieces = loaded(file)
         for b in batches:
             for rows in _each(pieces, b, n):
                 cols = zip(*checked(pieces, rows), strict=True)

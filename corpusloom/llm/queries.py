@@ -23,7 +23,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93).select("vec_id", "n_links", "component_id", "kept")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,13 +43,18 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_forest.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op5 that rules decide."""
+    return url_filter.by_rules(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -63,8 +68,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_ngram_jaccard_join,
         op10_hash_prefix_forest,
+        url_rules,
     )
 }
 
-#: DuckDB SQL where it can express the operator.
-ORACLE: dict[str, str] = {}
+_BITS = "unhex(sha1(h))::BIT::VARCHAR"
+_BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda k: substr(bits, 5 * i + k + 1, 1)::INTEGER * (16 >> k::INTEGER)))::INTEGER, 1)), '')"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_FITS = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
+_RULES = sorted(url_filter.RULES, key=lambda r: -len(r[0] + r[1]))
+
+#: DuckDB SQL where it can express the operator. Of op5 it can express what rules decide (url_rules).
+ORACLE: dict[str, str] = {
+    "op2_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), o AS (SELECT h, max(page_id) AS owner FROM p GROUP BY h),
+  d AS (SELECT page_id, owner, h, {_BITS} AS bits FROM p JOIN o USING (h))
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id < owner THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < owner THEN owner END AS refers_to FROM d""",
+    "op4_embedding_near_dedup": """WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0),
+  g AS (SELECT * FROM e WHERE len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+  l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+  r(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+  c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x), n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id""",
+    "url_rules": f"""WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+  p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r)
+SELECT page_id, host, path, CASE {' '.join(f"WHEN {_FITS.format(h, q)} THEN '{h + q}'" for h, q, _ in _RULES)} END AS rule,
+  CASE {' '.join(f"WHEN {_FITS.format(h, q)} THEN '{v}'" for h, q, v in _RULES)} END AS rule_verdict FROM p""",
+    "op9_ngram_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM w),
+  u AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+  l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+  r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+  c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, component_id FROM s JOIN c ON c.x = s.doc_id""",
+}

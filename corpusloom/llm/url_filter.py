@@ -12,7 +12,8 @@ of a url are one, with the more frequent label, 1 if they tie); the
 suffix statistics count all labelled urls. Every url is judged. Null urls, or ones
 without ``://``, have an empty host and path and are judged by their (empty) features.
 With fewer than two labels among the labelled urls all get the more frequent one, allow
-if there are none. Repeated rows and ties get equal verdicts; columns besides page_id
+if there are none. Urls of any length are taken whole; an empty table gives no rows.
+Repeated rows and ties get equal verdicts; columns besides page_id
 and url are ignored.
 """
 
@@ -198,6 +199,13 @@ class UrlFilter:
         return rows.mapInPandas(judged, f"page_id {kind}, host string, path string, rule string, verdict string, score double")
 
 
+def by_rules(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
+    """page_id, host, path, rule, rule_verdict: what the rules say by themselves; nulls where none fits."""
+    host, path = host_and_path(F.col("url"))
+    name, said = longest_rule(F.col("host"), F.col("path"), rules)
+    return pages.select("page_id", host.alias("host"), path.alias("path")).select("page_id", "host", "path", name.alias("rule"), said.alias("rule_verdict"))
+
+
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, max_train: int = 20_000) -> DataFrame:
     """Verdicts on all pages, with trees trained from the urls that a rule labels."""
     host, path = host_and_path(F.col("url"))

@@ -18,7 +18,8 @@ of the files that hold any.
 
 Null html is an empty payload, null urls write no target. Rows with a null page_id are
 responses that nobody revisits; rows that repeat a page_id with the largest payload
-owner's id are all responses. An empty table writes and reads nothing. A truncated last
+owner's id are all responses. An empty table writes and reads nothing.
+Texts of any length are written whole; equal payloads (ties) go by the largest page_id. A truncated last
 record is left out. Extra columns are ignored.
 """
 

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -71,3 +72,45 @@ def test_trees_fit_a_corner():
     y = ((x[:, 0] > 0.3) & (x[:, 3] < 0.5)).astype(float)
     model = url_filter.boost(x[:2000], y[:2000])
     assert ((model.scores(x[2000:]) >= 0.5) == y[2000:]).mean() > 0.97
+
+
+def test_trees_equal_plain_version():
+    """Scores by walking each tree; the first split by trying every feature and cut."""
+    r = np.random.default_rng(3)
+    x = np.round(r.normal(size=(300, 4)), 1)
+    y = (x[:, 1] + 0.3 * r.normal(size=300) > 0.2).astype(float)
+    model = url_filter.boost(x, y, rounds=5, depth=3, bins=8, least=10)
+
+    def walk(tree, row):
+        at = 0
+        while tree[at][2] >= 0:
+            f, cut, left, right, _ = tree[at]
+            at = left if row[f] <= cut else right
+        return tree[at][4]
+
+    plain = [model.start + sum(walk(t, row) for t in model.trees) for row in x]
+    assert np.allclose(model.margin(x), plain)
+    p = 1 / (1 + math.exp(-model.start))
+    g, h = p - y, np.full(300, p * (1 - p))
+    gains = {}
+    for f in range(4):
+        for cut in np.unique(np.quantile(x[:, f], np.linspace(0, 1, 9)[1:-1])):
+            left = x[:, f] <= cut
+            if 10 <= left.sum() <= 290:
+                gains[f, float(cut)] = sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (left, ~left))
+    f, cut = model.trees[0][0][:2]
+    assert gains[f, cut] == pytest.approx(max(gains.values()))
+
+
+def test_suffix_statistics_equal_plain_counts(spark):
+    known = [(u, k % 3 > 0) for k, u in enumerate(urls()) if u]
+    model = url_filter.UrlFilter(spark.createDataFrame([(u, int(a)) for u, a in known], "url string, allow int"))
+    hosts = sorted({parts(u)[0] for u, _ in known})
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    buckets = {x.host: x.s for x in df.select("host", url_filter.suffixes(df["host"]).alias("s")).collect()}
+    allowed, total = np.zeros((2, url_filter.LEVELS, url_filter.BUCKETS), int)
+    for u, a in known:
+        for level, bucket in enumerate(buckets[parts(u)[0]]):
+            allowed[level, bucket] += a
+            total[level, bucket] += 1
+    assert (model.allowed == allowed).all() and (model.total == total).all()
