@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hash_forest, licenses, line_dedup, near_vectors, ngram_join, packing, pieces, quality, url_filter, warc
+from . import hash_forest, licenses, line_dedup, near_vectors, ngram_join, packing, pieces, quality, token_counts, url_filter, warc
 from .scratch import table
 
 
@@ -50,6 +50,10 @@ def op10_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_forest.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), limit=512)
+
+
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op5 that rules decide."""
     return url_filter.by_rules(table(spark, sf_dir, "pages"))
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_ngram_jaccard_join,
         op10_hash_prefix_forest,
+        op13_token_counts,
         url_rules,
     )
 }
