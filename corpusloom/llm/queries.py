@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hash_forest, licenses, line_dedup, near_vectors, ngram_join, packing, pieces, quality, token_counts, url_filter, warc
+from . import hash_forest, licenses, line_dedup, near_vectors, ngram_join, packing, pieces, quality, token_counts, url_filter, warc, whitening
 from .scratch import table
 
 
@@ -50,6 +50,10 @@ def op10_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_forest.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), limit=512)
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_ngram_jaccard_join,
         op10_hash_prefix_forest,
+        op12_embedding_whitening,
         op13_token_counts,
         url_rules,
     )
