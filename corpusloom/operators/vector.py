@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .adapters import Embedder, embed
+from .passing import firsts, passed, vectors
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -27,23 +28,51 @@ def build_index(records: DataFrame, text: str, embedder: Embedder, path: str) ->
     return records.sparkSession.read.parquet(path).count()
 
 
-#: Index rows in a shard and queries in a block; a task multiplies one with one.
-SHARD, BLOCK = 50_000, 2048
+#: Products of queries and index rows that a task holds at once.
+PRODUCTS = 1 << 21
 
 
-def _nearest(k: int, key: str, query_key: str):
-    """The k nearest of a shard's rows for each query of a block."""
+def _held(key: str):
+    """A shard: its rows, the order of their keys, and by length of the vectors (places, matrix, squared norms)."""
 
-    def run(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        x = np.stack(rows["vector"].to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, 0))
-        others = rows.drop(columns=["vector", "_s", "_b"])
-        for q in asked.itertuples():
-            if len(x) and len(getattr(q, "query_vector")) == x.shape[1]:
-                distance = ((x - np.asarray(q.query_vector, np.float64)) ** 2).sum(1)
-                near = np.lexsort((rows[key].to_numpy(), distance))[:k]
-                out.append(others.iloc[near].assign(**{query_key: getattr(q, query_key), "distance": distance[near]}))
-        return pd.concat(out) if out else others.iloc[:0].assign(**{query_key: pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
+    def run(rows: pa.RecordBatch) -> tuple:
+        order = np.unique(rows.column(rows.schema.get_field_index(key)).to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        found = {}
+        for d, at, x in vectors(rows.column(rows.schema.get_field_index("vector"))):
+            x = x.astype(np.float64)
+            found[d] = at, x, (x * x).sum(1)
+        return rows.drop_columns(["vector"]), order, found
+
+    return run
+
+
+def _nearest(k: int, query_key: str):
+    """The k nearest of a shard's rows for each query of a batch.
+
+    Products and norms give distances up to rounding; what lies within its bound of the
+    k-th is measured again, component by component."""
+
+    def run(shard: tuple, asked: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows, order, by_length = shard
+        ids = asked.column(asked.schema.get_field_index(query_key))
+        for d, places, q in vectors(asked.column(asked.schema.get_field_index("query_vector"))):
+            if d not in by_length:
+                continue
+            at, x, norm = by_length[d]
+            step = max(1, PRODUCTS // len(x))
+            for lo in range(0, len(q), step):
+                part = q[lo : lo + step].astype(np.float64)
+                own = (part * part).sum(1)[:, None]
+                near = norm + own - 2 * part @ x.T
+                slack = 8 * (d + 4) * np.finfo(float).eps * (norm + own)
+                # The k-th of what distances can be at most bounds those that matter.
+                cut = np.partition(near + slack, k - 1, axis=1)[:, k - 1 : k] if len(x) > k else np.inf
+                i, j = np.nonzero(near - slack <= cut)
+                some = max(1, PRODUCTS // max(1, d))
+                exact = np.concatenate([((x[j[a : a + some]] - part[i[a : a + some]]) ** 2).sum(1) for a in range(0, len(i), some)])
+                best = np.lexsort((order[at[j]], exact, i))
+                best = best[firsts(i[best], k)]
+                yield pa.RecordBatch.from_arrays([*rows.take(pa.array(at[j[best]])).columns, ids.take(pa.array(places[lo + i[best]])), pa.array(exact[best])], [*rows.schema.names, query_key, "distance"])
 
     return run
 
@@ -51,18 +80,14 @@ def _nearest(k: int, key: str, query_key: str):
 def search(index: DataFrame, queries: DataFrame, k: int = 5, key: str = "id", query_key: str = "query_id") -> DataFrame:
     """The k nearest rows of index(key, vector) for each of queries(query_key, query_vector).
 
-    Rows are dealt into shards and queries into blocks; every block meets every shard in a
-    task of bounded size, and only its k best of each query go on to the merge. Rows and
-    queries with null vectors take no part."""
-    index, queries = index.where("vector is not null"), queries.select(query_key, "query_vector").where("query_vector is not null")
-    shards, blocks = max(1, math.ceil(index.count() / SHARD)), max(1, math.ceil(queries.count() / BLOCK))
-    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = index.withColumn("_s", of(key, shards)).withColumn("_b", every(blocks)).groupBy("_s", "_b")
-    right = queries.withColumn("_b", of(query_key, blocks)).withColumn("_s", every(shards)).groupBy("_s", "_b")
+    The index is dealt into shards once and queries stream past them (see ``passed``); only
+    a shard's k best of each query go on to the merge. Rows and queries whose vectors are null
+    or hold nulls take no part; a query meets vectors of its own length."""
+    whole = lambda c: F.col(c).isNotNull() & F.forall(c, lambda e: e.isNotNull())
+    index, queries = index.where(whole("vector")), queries.select(query_key, "query_vector").where(whole("query_vector"))
     fields = [f for f in index.schema.fields if f.name != "vector"]
     schema = StructType([*fields, queries.schema[query_key], StructField("distance", DoubleType())])
-    found = left.cogroup(right).applyInPandas(_nearest(k, key, query_key), schema)
+    found = passed(index, queries, F.struct(key, "vector"), _held(key), _nearest(k, query_key), schema)
     near = Window.partitionBy(query_key).orderBy("distance", key)
     return found.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
 
