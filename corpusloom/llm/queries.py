@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hash_forest, licenses, line_dedup, near_vectors, ngram_join, packing, pieces, quality, token_counts, url_filter, warc, whitening
+from . import hard_negatives, hash_forest, licenses, line_dedup, near_vectors, ngram_join, packing, pieces, quality, token_counts, url_filter, warc, whitening
 from .scratch import table
 
 
@@ -50,6 +50,10 @@ def op10_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_forest.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_ngram_jaccard_join,
         op10_hash_prefix_forest,
+        op11_hard_negatives,
         op12_embedding_whitening,
         op13_token_counts,
         url_rules,
@@ -112,4 +117,12 @@ SELECT page_id, host, path, CASE {' '.join(f"WHEN {_FITS.format(h, q)} THEN '{h
   r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
   c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
 SELECT s.doc_id, len(s)::BIGINT AS n_shingles, component_id FROM s JOIN c ON c.x = s.doc_id""",
+    "op11_hard_negatives": """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+  g AS (SELECT vec_id, label, list_transform(v, lambda x: floor(256 * x)::BIGINT) AS x FROM e WHERE len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+  s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_sum(list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] * b.x[i]))::BIGINT AS score
+    FROM g a JOIN g b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)),
+  p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same) WHERE r <= 5),
+  n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+    FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
 }
