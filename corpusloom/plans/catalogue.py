@@ -317,9 +317,7 @@ def range_expand(spark, sf_dir):
 SELECT user_id, max(chapter)::INTEGER AS chapters, count(*) AS events FROM f GROUP BY user_id""")
 def chapter_fold(spark, sf_dir):
     rows = read(spark, sf_dir, "events").select("user_id", "event_id", F.floor("value").cast("long").alias("x"))
-    found = rows.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "x"))), lambda r: r["x"]).alias("xs"))
-    zero, step, finish = parsing.chapter_fold()
-    return found.select("user_id", F.aggregate("xs", zero, step, finish).alias("chapters"), F.size("xs").cast("long").alias("events"))
+    return parsing.chapters_of(rows, "user_id", "event_id", "x")
 
 
 @query("""WITH a AS (SELECT conv_id, min(turn) FILTER (role = 'user') AS a, min(turn) FILTER (role = 'assistant') AS z FROM conversations GROUP BY 1)
