@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import tables as T
 from ..functions.text import collapse, superscript_digits, word_count, words
 from ..operators import align, cleaning, metrics, parsing, profile, prompt, quality, vector
+from ..shared import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -320,6 +321,85 @@ def chapter_fold(spark, sf_dir):
     return parsing.chapters_of(rows, "user_id", "event_id", "x")
 
 
+# Long documents: lines rendered from a table, most of them in one document, and what the parsers make of them.
+
+#: Eight lines for each row of documents, with numbers that choose what they are rendered as.
+LINE_COLUMNS = ["doc_id * 8 + j AS seq", "(coalesce(n_chars, 0) * 13 + j * 29 + doc_id) % 2000 + 1 AS p", "(coalesce(n_chars, 0) * 7 + doc_id * 11 + j) % 100 AS q", "j"]
+LINE_TABLE = f"(SELECT {', '.join(LINE_COLUMNS)} FROM documents, range(8) r(j))"
+DICE = "(p * 7 + q * 3 + j)"
+P = "CAST(p AS STRING)"
+NT_LINE = f"""CASE {DICE} % 24 WHEN 0 THEN 'SAN MARCOS ' || CAST(1 + p % 16 AS STRING) WHEN 1 THEN '# SAN JUAN' WHEN 2 THEN '# SAN PEDRO' WHEN 3 THEN '1 SAN JUAN ' || CAST(1 + p % 5 AS STRING)
+  WHEN 4 THEN '# HECHOS' WHEN 5 THEN 'NADA 3' WHEN 6 THEN '' WHEN 7 THEN '## Titulo' WHEN 8 THEN '⁴-⁵Kam ' || {P} || ' sug' WHEN 9 THEN '⁴-⁵Kam ' || {P} || ' sug' WHEN 10 THEN 'cola 12 Paita nuka'
+  ELSE CASE WHEN {DICE} % 24 < 16 THEN '⁷Kam ' || {P} || ' sug' ELSE 'solo ' || {P} || ' texto' END END AS line"""
+NT_DOC = "CASE WHEN q % 3 = 0 THEN q % 5 ELSE 9 END AS doc"
+
+
+def rendered(spark: SparkSession, sf_dir: str, doc: str, line: str) -> DataFrame:
+    # Settled, as an expression as long as this one would be written out wherever a parser reads the line.
+    rows = read(spark, sf_dir, "documents").select("doc_id", "n_chars", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j"))
+    return settled(rows.selectExpr(*LINE_COLUMNS).selectExpr(doc, "seq", line))
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT {NT_DOC}, seq, {DICE} % 24 AS k, p FROM {LINE_TABLE}),
+  a AS (SELECT doc, k, seq, row_number() OVER (PARTITION BY doc, k ORDER BY seq) AS i FROM l WHERE k IN (1, 2)),
+  x AS (SELECT doc, min(seq) AS first_seq FROM l WHERE k = 3 GROUP BY doc),
+  r(doc, k, i, seq, used, way) AS (SELECT DISTINCT doc, k, 0::BIGINT, 0::BIGINT, []::VARCHAR[], '' FROM a
+    UNION ALL SELECT doc, k, i, seq, list_append(used, way), way FROM (SELECT *, list_filter(CASE k WHEN 1 THEN ['Juan', '1 Juan', '2 Juan', '3 Juan'] ELSE ['1 Pedro', '2 Pedro'] END, lambda v: NOT list_contains(used, v))[1] AS way
+      FROM (SELECT a.doc, a.k, a.i, a.seq, CASE WHEN x.first_seq < a.seq THEN list_append(r.used, '1 Juan') ELSE r.used END AS used FROM r JOIN a ON a.doc = r.doc AND a.k = r.k AND a.i = r.i + 1 AND r.way IS NOT NULL LEFT JOIN x ON x.doc = a.doc))),
+  h AS (SELECT doc, seq, k IN (0, 3) AS header, CASE k WHEN 0 THEN 'Marcos' WHEN 3 THEN '1 Juan' ELSE 'Hechos' END AS book, CASE k WHEN 0 THEN 1 + p % 16 WHEN 3 THEN 1 + p % 5 END AS number FROM l WHERE k IN (0, 3, 4)
+    UNION ALL SELECT doc, seq, false, way, NULL FROM r WHERE i > 0 AND way IS NOT NULL),
+  b AS (SELECT *, CASE WHEN header THEN number WHEN was IS DISTINCT FROM book THEN 1 END AS num FROM (SELECT *, lag(book) OVER (PARTITION BY doc ORDER BY seq) AS was FROM h)),
+  c AS (SELECT doc, seq, book, was, last_value(num IGNORE NULLS) OVER (PARTITION BY doc ORDER BY seq) AS chapter, last_value(num IGNORE NULLS) OVER (PARTITION BY doc ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old FROM b),
+  q AS (SELECT doc, seq, 0 AS pos, NULL::VARCHAR AS mark, '' AS text, book, chapter, was IS DISTINCT FROM book OR old IS DISTINCT FROM chapter AS reset FROM c
+    UNION ALL SELECT doc, seq, 0, NULL::VARCHAR, CASE k WHEN 5 THEN 'NADA 3' WHEN 10 THEN 'cola' ELSE 'solo ' || p || ' texto' END, NULL, NULL, false FROM l WHERE k IN (5, 10) OR k >= 16
+    UNION ALL SELECT doc, seq, 1, CASE WHEN k < 10 THEN '4-5' WHEN k = 10 THEN '12' ELSE '7' END, CASE k WHEN 10 THEN 'Paita nuka' ELSE 'Kam ' || p || ' sug' END, NULL, NULL, false FROM l WHERE k BETWEEN 8 AND 15),
+  w AS (SELECT doc, seq, pos, mark, text, last_value(book IGNORE NULLS) OVER o AS book, last_value(chapter IGNORE NULLS) OVER o AS chapter, sum((mark IS NOT NULL OR reset)::INTEGER) OVER o AS run FROM q WINDOW o AS (PARTITION BY doc ORDER BY seq, pos)),
+  v AS (SELECT doc, min(seq) AS seq, min(book) AS libro, min(chapter) AS capitulo, max(mark) AS mark, string_agg(text, ' ' ORDER BY seq, pos) FILTER (text <> '') AS texto_inga FROM w WHERE book IS NOT NULL GROUP BY doc, run)
+SELECT doc, seq, libro, capitulo::INTEGER AS capitulo, unnest(CASE mark WHEN '4-5' THEN [4, 5] ELSE [mark::INTEGER] END) AS versiculo, texto_inga, mark = '4-5' AS verso_combinado FROM v WHERE mark IS NOT NULL AND texto_inga <> ''""")
+def nt_verses(spark, sf_dir):
+    return parsing.parse_verse_lines(rendered(spark, sf_dir, NT_DOC, NT_LINE)).drop("pos")
+
+
+OT_LINE = f"""CASE WHEN {DICE} % 30 = 0 THEN ' SALMOS' WHEN {DICE} % 30 = 1 THEN ' JOSUE' WHEN {DICE} % 30 < 4 THEN CAST(1 + p % 30 AS STRING) WHEN {DICE} % 30 = 4 THEN 'Wycliffe aviso' WHEN {DICE} % 30 = 5 THEN ''
+  WHEN {DICE} % 30 < 21 THEN CAST(1 + p % 25 AS STRING) || ' Uno dos ' || {P} WHEN {DICE} % 30 < 23 THEN '9 Corto' ELSE 'sigue texto ' || {P} END AS line"""
+#: Documents short enough for recursion in SQL.
+SHORT_DOC = "q % 40 AS doc"
+
+
+@query(f"""WITH RECURSIVE a AS (SELECT {SHORT_DOC}, seq, {DICE} % 30 AS k, p FROM {LINE_TABLE}),
+  l AS (SELECT a.* FROM a JOIN (SELECT doc, min(seq) AS begins FROM a WHERE k < 2 GROUP BY doc) USING (doc) WHERE seq >= begins),
+  t AS (SELECT doc, seq, CASE k WHEN 0 THEN 'Salmos' WHEN 1 THEN 'Josue' END AS book, CASE WHEN k < 2 THEN 2 WHEN k < 4 THEN 1 WHEN k BETWEEN 6 AND 22 THEN 0 END AS kind, CASE WHEN k IN (2, 3) THEN 1 + p % 30 WHEN k BETWEEN 6 AND 20 THEN 1 + p % 25 WHEN k > 20 THEN 9 END AS n,
+    CASE WHEN k BETWEEN 6 AND 20 THEN 'Uno dos ' || p WHEN k IN (21, 22) THEN 'Corto' WHEN k > 22 THEN 'sigue texto ' || p END AS text FROM l WHERE k NOT IN (4, 5)),
+  e AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY seq) AS i FROM t WHERE kind IS NOT NULL),
+  f AS (SELECT doc, i, seq, 1::BIGINT AS chapter, 0::BIGINT AS most, true AS closes FROM e WHERE i = 1
+    UNION ALL SELECT e.doc, e.i, e.seq, CASE e.kind WHEN 2 THEN 1 WHEN 1 THEN greatest(e.n, f.chapter) ELSE f.chapter + (e.n < f.most - 5)::BIGINT END,
+      CASE e.kind WHEN 2 THEN 0 WHEN 1 THEN CASE WHEN e.n > f.chapter THEN 0 ELSE f.most END ELSE CASE WHEN e.n < f.most - 5 THEN e.n ELSE greatest(f.most, e.n) END END, e.kind <> 1 OR e.n > f.chapter FROM f JOIN e ON e.doc = f.doc AND e.i = f.i + 1),
+  g AS (SELECT t.*, f.chapter, coalesce(f.closes, false) AS closes, last_value(t.book IGNORE NULLS) OVER o AS libro, sum(coalesce(f.closes, false)::INTEGER) OVER o AS run FROM t LEFT JOIN f ON f.doc = t.doc AND f.seq = t.seq WINDOW o AS (PARTITION BY t.doc ORDER BY t.seq)),
+  v AS (SELECT doc, min(seq) AS first_seq, arg_min(kind, seq) AS kind, min(libro) AS libro, arg_min(chapter, seq) AS capitulo, arg_min(n, seq) AS versiculo, string_agg(text, ' ' ORDER BY seq) AS texto_inga FROM g GROUP BY doc, run)
+SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY first_seq) - 1)::INTEGER AS seq, libro, capitulo::INTEGER AS capitulo, versiculo::INTEGER AS versiculo, texto_inga FROM v WHERE kind = 0 AND len({_w('texto_inga')}) >= 3""")
+def ot_verses(spark, sf_dir):
+    return parsing.parse_old_testament_lines(rendered(spark, sf_dir, SHORT_DOC, OT_LINE))
+
+
+BILINGUAL_LINE = f"""CASE WHEN {DICE} % 20 = 0 THEN '# SUG SUIUCHII (1) / Artículo ' || CAST(1 + p % 99 AS STRING) WHEN {DICE} % 20 < 5 THEN CAST(1 + p % 9 AS STRING) || '. uno ' || {P}
+  WHEN {DICE} % 20 < 8 THEN '' WHEN {DICE} % 20 = 8 THEN '// aside' WHEN {DICE} % 20 < 11 THEN 'corta dos' ELSE 'una linea ' || {P} END AS line"""
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT {SHORT_DOC}, seq, {DICE} % 20 AS k, p, {BILINGUAL_LINE} FROM {LINE_TABLE}),
+  t AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY seq) AS i, seq, p, line, CASE WHEN k = 0 THEN 'article' WHEN k < 5 THEN 'item' WHEN k < 8 THEN 'blank' WHEN k = 8 THEN 'aside' ELSE 'plain' END AS kind, len({_w('line')}) AS n FROM l),
+  u AS (SELECT *, min(CASE WHEN kind <> 'blank' THEN i END) OVER o AS f, min(CASE WHEN kind IN ('blank', 'aside', 'item') THEN i END) OVER o AS stop, min(CASE WHEN kind IN ('blank', 'aside', 'item', 'article') THEN i END) OVER o AS halt,
+    sum(n) OVER (PARTITION BY doc ORDER BY i) AS words, sum(n) OVER (PARTITION BY doc) AS total FROM t WINDOW o AS (PARTITION BY doc ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+  m AS (SELECT a.doc, a.i, a.seq, a.kind, a.p, a.line, a.f, CASE a.kind WHEN 'item' THEN b.stop ELSE b.halt END AS ends, a.total, b.kind AS fk, a.n, b.words - b.n AS before FROM u a LEFT JOIN u b ON b.doc = a.doc AND b.i = a.f),
+  s AS (SELECT m.*, CASE m.kind WHEN 'item' THEN coalesce(fk <> 'aside', false) WHEN 'plain' THEN coalesce(fk NOT IN ('aside', 'item', 'article'), false) AND m.n >= 3 AND coalesce(e.words - e.n, m.total) - before >= 3 ELSE false END AS takes FROM m LEFT JOIN u e ON e.doc = m.doc AND e.i = m.ends),
+  g AS (SELECT *, CASE WHEN takes THEN ends WHEN kind = 'item' THEN f ELSE i + 1 END AS after FROM s),
+  r(doc, i) AS (SELECT doc, min(i) FROM g WHERE kind = 'article' GROUP BY doc UNION ALL SELECT g.doc, g.after FROM r JOIN g USING (doc, i) WHERE g.after IS NOT NULL),
+  v AS (SELECT g.*, last_value(CASE WHEN kind = 'article' THEN 1 + p % 99 END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY i) AS articulo FROM g JOIN r USING (doc, i)),
+  w AS (SELECT v.doc, v.i, string_agg(t.line, ' ' ORDER BY t.i) AS texto_inga FROM v JOIN t ON t.doc = v.doc AND t.i >= v.f AND (v.ends IS NULL OR t.i < v.ends) WHERE v.takes GROUP BY v.doc, v.i)
+SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY i) - 1)::INTEGER AS seq, articulo::INTEGER AS articulo, CASE kind WHEN 'item' THEN 1 + p % 9 ELSE 0 END::INTEGER AS sub_idx, CASE kind WHEN 'item' THEN 'uno ' || p ELSE line END AS texto_es, texto_inga FROM v JOIN w USING (doc, i)""")
+def bilingual_blocks(spark, sf_dir):
+    return parsing.parse_bilingual_lines(rendered(spark, sf_dir, SHORT_DOC, BILINGUAL_LINE))
+
+
 @query("""WITH a AS (SELECT conv_id, min(turn) FILTER (role = 'user') AS a, min(turn) FILTER (role = 'assistant') AS z FROM conversations GROUP BY 1)
 SELECT conv_id, turn, role FROM conversations JOIN a USING (conv_id) WHERE turn >= coalesce(a, 0) AND (z IS NULL OR turn < z)""")
 def section_slice(spark, sf_dir):
