@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import hashlib
+import logging
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.tables import LANGUAGE_CODES
 from ..functions.text import strip
-from .prompt import prompt
+from ..shared import ship
+from .prompt import prompt, refinement
 
 DIRECTIONS = ("inga2es", "es2inga")
 
@@ -59,6 +62,7 @@ def retried(call: Callable, attempts: int = 5, first_wait: float = 5.0, sleep: C
 
 
 def _mapped(df: DataFrame, name: str, kind: T.DataType, of: Callable[[pd.DataFrame], list], batch: int) -> DataFrame:
+    ship(df.sparkSession)
     kept = df.drop(name)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,6 +93,53 @@ def translate(df: DataFrame, prompt: str, direction: str, translator: Translator
     return _mapped(df, out, T.StringType(), lambda p: translator(p[prompt].fillna("").tolist(), direction), batch)
 
 
+def _calls(spark: SparkSession, store: str) -> list[str]:
+    """Folders of answers of the calls that came to their end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return [x.getPath().getParent().toString() for x in found or ()]
+
+
+def answered(df: DataFrame, prompt: str, direction: str, translator: Translator, store: str, out: str = "hyp", batch: int = 8) -> DataFrame:
+    """df with the translator's answers, each distinct prompt asked once and its answer kept in the table at ``store``.
+
+    Prompts that have an answer there are not asked again; those that fail have none and are asked
+    by the next call. Answers are kept per direction and whole prompt. Null prompts count as empty."""
+    check_direction(direction)
+    spark = df.sparkSession
+    ship(spark)
+    text = F.coalesce(F.col(prompt), F.lit(""))
+    asked = df.select(text.alias("prompt")).distinct().withColumns({"direction": F.lit(direction), "hash": F.xxhash64("prompt")})
+    kind = "direction string, hash long, prompt string, answer string"
+    # Each call adds a folder: Spark takes two reads of one folder for the same, whatever was added between them.
+    if earlier := _calls(spark, store):
+        asked = asked.join(spark.read.schema(kind).parquet(*earlier), ["direction", "hash", "prompt"], "left_anti")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), batch):
+                part = pdf.iloc[lo : lo + batch]
+                try:
+                    yield part.assign(answer=translator(part["prompt"].tolist(), direction))
+                except Exception as e:
+                    # The rest of the answers is worth keeping; the call is made again with what is missing.
+                    logging.getLogger(__name__).warning("a batch of %d prompts failed: %s", len(part), e)
+
+    fresh = asked.select("direction", "hash", "prompt").mapInPandas(run, kind)
+    fresh.write.parquet(f"{store}/{uuid.uuid4().hex}")
+    known = spark.read.schema(kind).parquet(*_calls(spark, store)).where(F.col("direction") == direction).select(F.col("hash").alias("_hash"), F.col("prompt").alias("_prompt"), F.col("answer").alias(out)).dropDuplicates(["_hash", "_prompt"])
+    kept = df.drop(out).withColumns({"_key": text, "_h": F.xxhash64(text)})
+    return kept.join(known, (F.col("_h") == F.col("_hash")) & (F.col("_key") == F.col("_prompt")), "left").drop("_h", "_hash", "_key", "_prompt")
+
+
+def refine(drafts: DataFrame, prompt: str, draft: str, direction: str, translator: Translator, store: str, out: str = "refined") -> DataFrame:
+    """drafts with the answers to their prompts followed by their drafts, white space at the ends stripped; rows without a draft get null."""
+    asked = drafts.withColumn("_ask", refinement(F.col(prompt), F.col(draft)))
+    some = answered(asked.where("_ask is not null"), "_ask", direction, translator, store, out).withColumn(out, strip(F.col(out)))
+    none = asked.where("_ask is null").withColumn(out, F.lit(None).cast("string"))
+    return some.unionByName(none).drop("_ask")
+
+
 def _parsed(name: str, kind: str) -> Column:
     return F.transform(F.col(name), lambda r: F.from_json(r, kind)).alias(name)
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..shared import settled
+from ..shared import settled, ship
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key, by an order that leaves no ties."""
-    # A minimum combines before the shuffle, so a key with most of the rows is no hot task.
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    least = F.min(F.struct(*order, *rest)).alias("_least")
+    # A minimum combines before the shuffle, so a key with most of the rows is no hot task. Only the order is compared: maps can't be.
+    least = F.min_by(F.struct(*[c for c in df.columns if c not in keys]), F.struct(*order)).alias("_least")
     return df.groupBy(*keys).agg(least).select(*[F.col(c) if c in keys else F.col("_least")[c].alias(c) for c in df.columns])
 
 
@@ -75,10 +79,58 @@ def both_directions(pairs: DataFrame, a: str, b: str, codes: tuple[str, str]) ->
     return pairs.select(*others, F.explode(F.array(way(codes[0], codes[1], a, b), way(codes[1], codes[0], b, a))).alias("w")).select(*others, "w.*")
 
 
+#: Aliases that a table of them may have: an automaton of all is held by every task.
+MOST_ALIASES = 1_000_000
+
+
+def undominated(aliases: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """Aliases (text, place) that can be a text's first one: none that holds another of a smaller place."""
+    best: dict[str, int] = {}
+    for text, place in aliases:
+        best[text] = min(place, best.get(text, place))
+    found = _automaton(list(best.items()))
+    return [(text, place) for text, place in best.items() if all(p >= place for _, p in found.iter(text))]
+
+
+def _automaton(aliases: list[tuple[str, int]]) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for text, place in aliases:
+        out.add_word(text, place)
+    out.make_automaton()
+    return out
+
+
 def first_alias(df: DataFrame, text: str, aliases: DataFrame) -> DataFrame:
-    """Each row with the first alias (by place) that its text contains; aliases(alias, canonical, place) is a fixed table."""
-    met = df.join(F.broadcast(aliases), F.col(text).contains(F.col("alias")))
-    return met.groupBy(*df.columns).agg(F.min(F.struct("place", "canonical")).alias("m")).select(*df.columns, F.col("m.canonical").alias("canonical"))
+    """Each row with the ``canonical`` of the first alias (by place) that its text contains; rows without one go.
+
+    aliases(alias, canonical, place) is a table of at most ``MOST_ALIASES`` rows (more raise ValueError). An
+    Aho-Corasick automaton of them reads every text once, whatever their number; repeated rows stay. An
+    empty alias is in every text but a null one; of a place that repeats, any row may count."""
+    spark = df.sparkSession
+    rows = aliases.where("alias is not null").orderBy("place").limit(MOST_ALIASES + 1).collect()
+    if len(rows) > MOST_ALIASES:
+        raise ValueError(f"more than {MOST_ALIASES} aliases")
+    always = min((i for i, r in enumerate(rows) if r["alias"] == ""), default=len(rows))
+    kept = spark.sparkContext.broadcast(undominated([(r["alias"], i) for i, r in enumerate(rows) if r["alias"] and i < always]))
+    no_match = always if always < len(rows) else None
+    ship(spark)
+    at, width = df.columns.index(text), len(df.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _automaton(kept.value)
+        for b in batches:
+            found = []
+            for x in b.column(at):
+                value = x.as_py()
+                place = None if value is None else min((p for _, p in held.iter(value)), default=no_match) if kept.value else no_match
+                found.append(place)
+            out = pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int32())], [*b.schema.names, "_alias"])
+            yield out.filter(out.column(width).is_valid())
+
+    met = df.mapInArrow(run, StructType([*df.schema.fields, StructField("_alias", IntegerType())]))
+    names = StructType([StructField("_alias", IntegerType()), aliases.schema["canonical"]])
+    table = spark.createDataFrame([(i, r["canonical"]) for i, r in enumerate(rows)], names)
+    return met.join(F.broadcast(table) if len(rows) <= 50_000 else table, "_alias").select(*df.columns, "canonical")
 
 
 def shared_words(a: Column, b: Column) -> Column:

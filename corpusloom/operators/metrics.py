@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import words
+from ..shared import ship
+
 
 def tokenize_13a(x: Column) -> Column:
     """The mteval-13a tokenizer: entities, marks apart from words, commas and dots apart unless between digits."""
@@ -99,8 +104,54 @@ def greedy_match_f1(a: Column, b: Column) -> Column:
     return F.try_divide(2 * p * r, p + r)
 
 
+def _matched(block: int):
+    """F1 of one pair from its distinct words (side, n, weight, vector)."""
+
+    def best(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.full(len(a), -1.0)
+        for lo in range(0, len(a), block):
+            for at in range(0, len(b), block):
+                out[lo : lo + block] = np.maximum(out[lo : lo + block], (a[lo : lo + block] @ b[at : at + block].T).max(1))
+        return out
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        row, known = pdf["row"].iloc[:1], pdf[pdf["vector"].notna()]
+        sides = [known[known["side"] == s] for s in "rh"]
+        f1 = 0.0
+        if all(len(s) for s in sides):
+            units = []
+            for s in sides:
+                x = np.stack(s["vector"].to_numpy()).astype(np.float64)
+                units.append(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300))
+            weights = [(s["n"] * s["weight"]).to_numpy(np.float64) for s in sides]
+            recall, precision = ((w * best(*u)).sum() / w.sum() if w.sum() else 0.0 for w, u in zip(weights, (units, units[::-1]), strict=True))
+            f1 = 2 * precision * recall / (precision + recall) if precision + recall else 0.0
+        return pd.DataFrame({"row": row, "f1": [f1]})
+
+    return run
+
+
+def match_scores(pairs: DataFrame, ref: str, hyp: str, vectors: DataFrame, idf: bool = False, block: int = 2048) -> DataFrame:
+    """(row, f1) of each pair: every word of a side is matched with the nearest of the other by cosine of vectors(token, vector).
+
+    A pair's cosines are those of its distinct words, in products of blocks of their vectors. With ``idf``
+    words weigh ln((N + 1) / (n + 1)), n of N references holding them. Words without a vector take
+    no part; a pair with none on a side scores 0. Vectors are of one length, tokens of vectors distinct."""
+    ship(pairs.sparkSession)
+    rows = pairs.select(F.monotonically_increasing_id().alias("row"), words(F.coalesce(ref, F.lit(""))).alias("r"), words(F.coalesce(hyp, F.lit(""))).alias("h"))
+    sides = rows.select("row", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("w")) for s in "rh"])).alias("x"))
+    tokens = sides.select("row", "x.side", F.explode_outer("x.w").alias("token")).groupBy("row", "side", "token").agg(F.count("*").alias("n"))
+    weight = F.lit(1.0)
+    if idf:
+        held = pairs.select(F.explode(F.array_distinct(words(F.coalesce(ref, F.lit(""))))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+        tokens = tokens.join(held, "token", "left").crossJoin(pairs.agg(F.count("*").alias("references")))  # a single row
+        weight = F.ln((F.col("references") + 1) / (F.coalesce("df", F.lit(0)) + 1))
+    known = tokens.withColumn("weight", weight).join(vectors.select("token", "vector"), "token", "left")
+    return known.select("row", "side", "n", "weight", "vector").groupBy("row").applyInPandas(_matched(block), "row long, f1 double")
+
+
 def all_metrics(pairs: DataFrame, ref: str, hyp: str, match: DataFrame | None = None) -> DataFrame:
-    """One row, rounded to 4 decimals: bleu, chrf and bertscore, the mean of match(f1), a score for each pair; null without it."""
+    """One row, rounded to 4 decimals: bleu, chrf and bertscore, the mean of match(f1) (see match_scores); null without it."""
     mean = F.round(F.avg("f1"), 4).alias("bertscore")
     score = match.agg(mean) if match is not None else pairs.sparkSession.range(1).select(F.lit(None).cast("double").alias("bertscore"))
     # Three single rows side by side.

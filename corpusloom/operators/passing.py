@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..shared import ship
+
 S = TypeVar("S")
 
 
@@ -23,6 +25,7 @@ def passed(held: DataFrame, asked: DataFrame, deal: Column, hold: Callable[[pa.R
     to every shard. A task gets one shard, its held rows first: ``hold`` makes of them what stays in memory, and asked
     rows go past it batch by batch. So memory is bounded by a shard, whatever is asked."""
     spark = held.sparkSession
+    ship(spark)
     shards = max(spark.sparkContext.defaultParallelism, math.ceil(held.count() / shard))
     whole = lambda df: F.struct(*df.columns)
     none = lambda df: F.lit(None).cast(df.schema.simpleString())

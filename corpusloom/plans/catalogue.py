@@ -6,6 +6,8 @@ conversations for the two sides of a parallel corpus, embeddings for vector tabl
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as T
 from ..functions.text import collapse, superscript_digits, word_count, words
-from ..operators import align, cleaning, metrics, parsing, profile, prompt, quality, vector
-from ..shared import settled
+from ..operators import adapters, align, cleaning, metrics, parsing, profile, prompt, quality, vector
+from ..shared import settled, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -563,9 +565,65 @@ def chrf_pp_corpus(spark, sf_dir):
     return metrics.chrf(pairs(spark, sf_dir), "a", "b").select(F.round("chrf", 4).alias("chrf"))
 
 
-@query(f"SELECT bleu, chrf, CAST(NULL AS DOUBLE) AS bertscore FROM ({_BLEU_13A}), ({_CHRF_PP})")
+def token_vectors(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    """A vector of embeddings for each word of both sides, by the word's hash."""
+    index = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("at"), F.col("embedding").alias("vector"))
+    tokens = found.select(F.explode(F.array_union(words(F.col("a")), words(F.col("b")))).alias("token")).distinct()
+    # Vectors are numbered from 0.
+    hashed = F.pmod(F.conv(F.substring(F.md5(F.col("token").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(index.count()))
+    return tokens.withColumn("at", hashed).join(index, "at").select("token", "vector")
+
+
+def _match_sql(idf: bool) -> str:
+    weight = "ln(((SELECT count(*) FROM pairs) + 1)::DOUBLE / (coalesce(df, 0) + 1))" if idf else "1.0::DOUBLE"
+    return f"""mt AS (SELECT conv_id, turn, side, w, count(*) AS n FROM (SELECT conv_id, turn, 'r' AS side, unnest({_w('a')}) AS w FROM pairs UNION ALL SELECT conv_id, turn, 'h', unnest({_w('b')}) FROM pairs) GROUP BY ALL),
+  md AS (SELECT w, count(*) AS df FROM mt WHERE side = 'r' GROUP BY w),
+  mv AS (SELECT conv_id, turn, side, w, n, {weight} AS weight, embedding::DOUBLE[] AS v FROM mt LEFT JOIN md USING (w) JOIN embeddings ON vec_id = ('0x' || md5(w)[1:8])::BIGINT % (SELECT count(*) FROM embeddings)),
+  mb AS (SELECT x.conv_id, x.turn, x.side, x.n, x.weight, max(list_cosine_similarity(x.v, y.v)) AS best FROM mv x JOIN mv y ON x.conv_id = y.conv_id AND x.turn = y.turn AND x.side <> y.side GROUP BY x.conv_id, x.turn, x.side, x.w, x.n, x.weight),
+  ms AS (SELECT conv_id, turn, side, sum(n * weight * best) / sum(n * weight) AS s FROM mb GROUP BY ALL),
+  mf AS (SELECT pairs.conv_id, pairs.turn, coalesce(2 * p.s * r.s / nullif(p.s + r.s, 0), 0) AS f1 FROM pairs LEFT JOIN ms p ON p.conv_id = pairs.conv_id AND p.turn = pairs.turn AND p.side = 'h' LEFT JOIN ms r ON r.conv_id = pairs.conv_id AND r.turn = pairs.turn AND r.side = 'r')"""
+
+
+@query(f"WITH {PAIRS}, {_match_sql(True)} SELECT count(*) AS pairs, round(avg(f1), 4) AS f1, round(min(f1), 4) AS least, round(max(f1), 4) AS most FROM mf")
+def match_score_idf(spark, sf_dir):
+    found = pairs(spark, sf_dir)
+    scores = metrics.match_scores(found, "a", "b", token_vectors(spark, sf_dir, found), idf=True)
+    return scores.agg(F.count("*").alias("pairs"), *[F.round(f("f1"), 4).alias(name) for f, name in ((F.avg, "f1"), (F.min, "least"), (F.max, "most"))])
+
+
+@query(f"WITH {PAIRS}, {_match_sql(False)} SELECT bleu, chrf, bertscore FROM ({_BLEU_13A}), ({_CHRF_PP}), (SELECT round(avg(f1), 4) AS bertscore FROM mf)")
 def all_metrics(spark, sf_dir):
-    return metrics.all_metrics(pairs(spark, sf_dir), "a", "b")
+    found = pairs(spark, sf_dir)
+    return metrics.all_metrics(found, "a", "b", metrics.match_scores(found, "a", "b", token_vectors(spark, sf_dir, found)))
+
+
+def _hashed(prompts: list[str], direction: str) -> list[str]:
+    """A stand-in for a model: its answer is the prompt's hash."""
+    return [hashlib.md5(p.encode()).hexdigest() for p in prompts]
+
+
+_ASKED = f"'{T.PROMPT_HEADS['inga2es']}:' || chr(10) || chr(10) || a"
+_REFINED = f"{_ASKED} || chr(10) || chr(10) || '{T.PROMPT_DRAFT[0].strip()}' || chr(10) || md5({_ASKED}) || chr(10) || chr(10) || '{T.PROMPT_DRAFT[1]}'"
+
+
+@query(f"WITH {PAIRS} SELECT conv_id, turn, md5({_ASKED}) AS draft, md5({_REFINED}) AS refined FROM pairs")
+def draft_and_refine(spark, sf_dir):
+    store = f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"
+    asked = pairs(spark, sf_dir).select("conv_id", "turn", prompt.prompt(F.col("a"), "inga2es").alias("ask"))
+    drafts = adapters.answered(asked, "ask", "inga2es", _hashed, store, "draft")
+    return adapters.refine(drafts, "ask", "draft", "inga2es", _hashed, store).select("conv_id", "turn", "draft", "refined")
+
+
+PASSAGE = "array_to_string({0}[1:3], ' ')".format(_w("text"))
+
+
+@query(f"""WITH a AS (SELECT {PASSAGE} AS alias, item_id FROM benchmark WHERE len({_w('text')}) >= 3)
+SELECT doc_id, min(item_id) AS canonical FROM documents JOIN a ON contains(text, alias) GROUP BY doc_id""")
+def passage_alias(spark, sf_dir):
+    """The first benchmark item whose first three words a document holds."""
+    first = F.slice(words(F.col("text")), 1, 3)
+    aliases = read(spark, sf_dir, "benchmark").where(F.size(first) == 3).select(F.array_join(first, " ").alias("alias"), F.col("item_id").alias("canonical"), F.col("item_id").alias("place"))
+    return align.first_alias(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", aliases).drop("text")
 
 
 @query(f"""WITH {PAIRS} SELECT k AS index_name, text, turn::INTEGER AS versiculo FROM (SELECT 'ejemplos' AS k, a AS text, turn FROM pairs UNION ALL SELECT 'ejemplos_es', b, turn FROM pairs

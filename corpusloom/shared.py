@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +23,16 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package when nothing else put it on their path."""
+    home = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    if home not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (home, env.get("PYTHONPATH", "")) if x)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df checkpointed in the shared folder."""
+    ship(df.sparkSession)
     shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -1,5 +1,8 @@
 import math
+import random
+import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,3 +241,77 @@ def test_strict_sample(spark):
 def test_null_documents(spark):
     none = spark.createDataFrame([("d", None)], "doc string, value string")
     assert parsing.parse_old_testament(none).count() == parsing.parse_bilingual(none).count() == 0
+
+
+def test_many_aliases(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    aliases = [(word(rng.randint(3, 9)), i, i) for i in range(10_000)]
+    texts = [word(rng.randint(0, 60)) for _ in range(300)] + [None, "", "abcabc", "abcabc"]
+    df = frame(spark, list(enumerate(texts)) + [(1, texts[1])], "i int, t string")
+    table = spark.createDataFrame(aliases, "alias string, canonical int, place int")
+    got = sorted((r.i, r.canonical) for r in align.first_alias(df, "t", table).collect())
+    want = [(i, m) for i, t in [*enumerate(texts), (1, texts[1])] if t is not None and (m := min((p for a, p, _ in aliases if a in t), default=None)) is not None]
+    assert got == sorted(want) and len(got) > 100
+    assert "NestedLoop" not in align.first_alias(df, "t", table)._jdf.queryExecution().executedPlan().toString()
+    # An empty alias is in all texts; without aliases there is nothing.
+    some = align.first_alias(df, "t", spark.createDataFrame([("zz", 7, 0), ("", 8, 1), ("a", 9, 2)], "alias string, canonical int, place int"))
+    assert {r.canonical for r in some.collect()} == {8} and some.count() == len(texts)
+    assert align.first_alias(df, "t", table.limit(0)).isEmpty()
+
+
+def test_aliases_that_can_never_be_first():
+    kept = dict(align.undominated([("ring", 0), ("string", 1), ("in", 2), ("on", 3), ("on", 5), ("only", 2)]))
+    assert kept == {"ring": 0, "in": 2, "on": 3, "only": 2}
+
+
+def test_keep_first_with_a_map(spark):
+    df = spark.sql("SELECT 1 AS k, 2 AS o, map('a', 1) AS m UNION ALL SELECT 1, 1, map('b', 2)")
+    assert [r.m for r in align.keep_first(df, ["k"], ["o"]).collect()] == [{"b": 2}]
+
+
+@pytest.mark.parametrize("idf", [False, True])
+def test_match_scores(spark, idf):
+    rng = np.random.default_rng(2)
+    names = [f"w{i}" for i in range(12)]
+    vectors = {w: rng.normal(size=5) for w in names[:10]}
+    pairs = [(" ".join(rng.choice(names, rng.integers(0, 9))), " ".join(rng.choice(names, rng.integers(0, 9)))) for _ in range(30)] + [(None, "w1"), ("w10 w11", "w1"), ("w1", "w1")]
+    refs = [(r or "").split() for r, _ in pairs]
+    weight = lambda w: math.log((len(refs) + 1) / (sum(w in r for r in refs) + 1)) if idf else 1.0
+    cosine = lambda a, b: float(vectors[a] @ vectors[b] / np.linalg.norm(vectors[a]) / np.linalg.norm(vectors[b]))
+
+    def side(xs, ys):
+        return sum(weight(x) * max(cosine(x, y) for y in ys) for x in xs) / sum(map(weight, xs))
+
+    want = []
+    for r, h in pairs:
+        a, b = ([w for w in (t or "").split() if w in vectors] for t in (r, h))
+        rec, pre = (side(a, b), side(b, a)) if a and b else (0, 0)
+        want.append(2 * rec * pre / (rec + pre) if rec + pre else 0.0)
+    table = spark.createDataFrame([(w, v.tolist()) for w, v in vectors.items()], "token string, vector array<double>")
+    got = metrics.match_scores(frame(spark, pairs, "r string, h string"), "r", "h", table, idf, block=2)
+    assert sorted(x.f1 for x in got.collect()) == pytest.approx(sorted(want), abs=1e-9)
+
+
+def test_answers_are_asked_once(spark, tmp_path):
+    calls, fails = tmp_path / "calls", tmp_path / "fails"
+    calls.mkdir()
+
+    def model(prompts, direction):
+        for p in prompts:
+            if p == "bad" and fails.exists():
+                raise RuntimeError("no answer")
+            (calls / f"{p}-{uuid.uuid4().hex}").touch()
+        return [f"{p}!" for p in prompts]
+
+    asked = frame(spark, [(i, ["a", "b", "bad", None][i % 4]) for i in range(40)], "k int, p string").repartition(4)
+    fails.touch()
+    of = lambda: {(r.p, r.hyp) for r in adapters.answered(asked, "p", "inga2es", model, str(tmp_path / "store"), batch=1).collect()}
+    assert of() == {("a", "a!"), ("b", "b!"), ("bad", None), (None, "!")}
+    fails.unlink()
+    assert of() == {("a", "a!"), ("b", "b!"), ("bad", "bad!"), (None, "!")}
+    of()
+    assert sorted(x.name.split("-")[0] for x in calls.iterdir()) == ["", "a", "b", "bad"]
+    drafts = frame(spark, [("q", "d"), ("q", None)], "p string, draft string")
+    got = {(r.draft, r.refined) for r in adapters.refine(drafts, "p", "draft", "inga2es", model, str(tmp_path / "other")).collect()}
+    assert got == {("d", "q\n\nTraduccion automatica preliminar a refinar:\nd\n\nVersino refinada:!"), (None, None)}
