@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,6 +12,11 @@ BREAKS = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"
 SUPERS, DIGITS = "⁰¹²³⁴⁵⁶⁷⁸⁹", "0123456789"
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), x computed once however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def words(x: Column) -> Column:
     """str.split()."""
     return F.filter(F.split(x, r"(?U)\s+"), lambda t: t != "")
