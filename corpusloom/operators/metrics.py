@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..shared import ship
+from ..shared import settled, ship
 
 
 def tokenize_13a(x: Column) -> Column:
@@ -104,8 +108,12 @@ def greedy_match_f1(a: Column, b: Column) -> Column:
     return F.try_divide(2 * p * r, p + r)
 
 
-def _matched(block: int):
-    """F1 of one pair from its distinct words (side, n, weight, vector)."""
+#: Numbers in the vectors of a vocabulary that every task may hold; beyond that words are joined with their vectors.
+HELD_NUMBERS = 1 << 23
+
+
+def _f1(units: list[np.ndarray], weights: list[np.ndarray], block: int) -> float:
+    """F1 of a reference and a hypothesis: unit vectors and weights of their words, in products of blocks."""
 
     def best(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.full(len(a), -1.0)
@@ -114,40 +122,73 @@ def _matched(block: int):
                 out[lo : lo + block] = np.maximum(out[lo : lo + block], (a[lo : lo + block] @ b[at : at + block].T).max(1))
         return out
 
+    if not all(map(len, units)):
+        return 0.0
+    recall, precision = ((w * best(*u)).sum() / w.sum() if w.sum() else 0.0 for w, u in zip(weights, (units, units[::-1]), strict=True))
+    return float(2 * precision * recall / (precision + recall)) if precision + recall else 0.0
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _matched(block: int):
+    """F1 of one pair from its distinct words (side, n, weight, vector)."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         row, known = pdf["row"].iloc[:1], pdf[pdf["vector"].notna()]
         sides = [known[known["side"] == s] for s in "rh"]
         f1 = 0.0
-        if all(len(s) for s in sides):
-            units = []
-            for s in sides:
-                x = np.stack(s["vector"].to_numpy()).astype(np.float64)
-                units.append(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300))
-            weights = [(s["n"] * s["weight"]).to_numpy(np.float64) for s in sides]
-            recall, precision = ((w * best(*u)).sum() / w.sum() if w.sum() else 0.0 for w, u in zip(weights, (units, units[::-1]), strict=True))
-            f1 = 2 * precision * recall / (precision + recall) if precision + recall else 0.0
+        if all(map(len, sides)):
+            f1 = _f1([_unit(np.stack(s["vector"].to_numpy()).astype(np.float64)) for s in sides], [(s["n"] * s["weight"]).to_numpy(np.float64) for s in sides], block)
         return pd.DataFrame({"row": row, "f1": [f1]})
 
     return run
 
 
-def match_scores(pairs: DataFrame, ref: str, hyp: str, vectors: DataFrame, idf: bool = False, block: int = 2048) -> DataFrame:
+def _looked_up(vocabulary: Broadcast, block: int):
+    """F1 of pairs of word arrays, whose vectors are at hand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, unit, weight = vocabulary.value
+        for b in batches:
+            found = []
+            for pair in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                counts = [Counter(i for w in side if (i := place.get(w)) is not None) for side in pair]
+                at = [np.fromiter(c, np.int64, len(c)) for c in counts]
+                found.append(_f1([unit[i] for i in at], [weight[i] * np.fromiter(c.values(), np.float64, len(c)) for i, c in zip(at, counts, strict=True)], block))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], ["row", "f1"])
+
+    return run
+
+
+def match_scores(pairs: DataFrame, ref: str, hyp: str, vectors: DataFrame, idf: bool = False, block: int = 2048, held_numbers: int = HELD_NUMBERS) -> DataFrame:
     """(row, f1) of each pair: every word of a side is matched with the nearest of the other by cosine of vectors(token, vector).
 
     A pair's cosines are those of its distinct words, in products of blocks of their vectors. With ``idf``
     words weigh ln((N + 1) / (n + 1)), n of N references holding them. Words without a vector take
-    no part; a pair with none on a side scores 0. Vectors are of one length, tokens of vectors distinct."""
-    ship(pairs.sparkSession)
+    no part; a pair with none on a side scores 0. Vectors are of one length, tokens of vectors distinct.
+    A vocabulary that was counted to have at most ``held_numbers`` components is broadcast, and pairs stay where they are; else
+    words are shuffled to their vectors and back to their pair."""
+    spark = pairs.sparkSession
+    ship(spark)
     rows = pairs.select(F.monotonically_increasing_id().alias("row"), words(F.coalesce(ref, F.lit(""))).alias("r"), words(F.coalesce(hyp, F.lit(""))).alias("h"))
-    sides = rows.select("row", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("w")) for s in "rh"])).alias("x"))
-    tokens = sides.select("row", "x.side", F.explode_outer("x.w").alias("token")).groupBy("row", "side", "token").agg(F.count("*").alias("n"))
+    known = vectors.select("token", "vector").where("token is not null and vector is not null")
     weight = F.lit(1.0)
     if idf:
         held = pairs.select(F.explode(F.array_distinct(words(F.coalesce(ref, F.lit(""))))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-        tokens = tokens.join(held, "token", "left").crossJoin(pairs.agg(F.count("*").alias("references")))  # a single row
+        known = known.join(held, "token", "left").crossJoin(pairs.agg(F.count("*").alias("references")))  # a single row
         weight = F.ln((F.col("references") + 1) / (F.coalesce("df", F.lit(0)) + 1))
-    known = tokens.withColumn("weight", weight).join(vectors.select("token", "vector"), "token", "left")
-    return known.select("row", "side", "n", "weight", "vector").groupBy("row").applyInPandas(_matched(block), "row long, f1 double")
+    known = settled(known.select("token", "vector", weight.alias("weight")))
+    if (known.agg(F.sum(F.size("vector"))).first()[0] or 0) <= held_numbers:
+        got = known.toPandas()
+        unit = _unit(np.stack(got["vector"].to_numpy()).astype(np.float64)) if len(got) else np.zeros((0, 0))
+        vocabulary = spark.sparkContext.broadcast(({t: i for i, t in enumerate(got["token"])}, unit, got["weight"].to_numpy(np.float64)))
+        return rows.mapInArrow(_looked_up(vocabulary, block), "row long, f1 double")
+    sides = rows.select("row", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("w")) for s in "rh"])).alias("x"))
+    tokens = sides.select("row", "x.side", F.explode_outer("x.w").alias("token")).groupBy("row", "side", "token").agg(F.count("*").alias("n"))
+    found = tokens.join(known, "token", "left")
+    return found.select("row", "side", "n", "weight", "vector").groupBy("row").applyInPandas(_matched(block), "row long, f1 double")
 
 
 def all_metrics(pairs: DataFrame, ref: str, hyp: str, match: DataFrame | None = None) -> DataFrame:

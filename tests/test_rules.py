@@ -270,8 +270,9 @@ def test_keep_first_with_a_map(spark):
     assert [r.m for r in align.keep_first(df, ["k"], ["o"]).collect()] == [{"b": 2}]
 
 
+@pytest.mark.parametrize("held", [0, 1 << 23])
 @pytest.mark.parametrize("idf", [False, True])
-def test_match_scores(spark, idf):
+def test_match_scores(spark, idf, held):
     rng = np.random.default_rng(2)
     names = [f"w{i}" for i in range(12)]
     vectors = {w: rng.normal(size=5) for w in names[:10]}
@@ -289,7 +290,7 @@ def test_match_scores(spark, idf):
         rec, pre = (side(a, b), side(b, a)) if a and b else (0, 0)
         want.append(2 * rec * pre / (rec + pre) if rec + pre else 0.0)
     table = spark.createDataFrame([(w, v.tolist()) for w, v in vectors.items()], "token string, vector array<double>")
-    got = metrics.match_scores(frame(spark, pairs, "r string, h string"), "r", "h", table, idf, block=2)
+    got = metrics.match_scores(frame(spark, pairs, "r string, h string"), "r", "h", table, idf, block=2, held_numbers=held)
     assert sorted(x.f1 for x in got.collect()) == pytest.approx(sorted(want), abs=1e-9)
 
 
