@@ -27,30 +27,51 @@ def tokenize_13a(x: Column) -> Column:
     return F.filter(F.split(x, r"\s+"), lambda t: t != "")
 
 
-def ngrams(a: Column, n: int, sep: str = " ") -> Column:
-    places = F.when(F.size(a) >= n, F.sequence(F.lit(1), F.size(a) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.array_join(F.slice(a, i, n), sep))
+def gram_counts(ref: np.ndarray, hyp: np.ndarray, order: int) -> list[int]:
+    """Matches, hypothesis and reference n-grams of each order of two sequences of whole numbers.
+
+    An n-gram is the (n - 1)-gram that begins it and its last item, each as its place
+    among those that occur: numbers stay small and nothing is hashed."""
+    items = np.unique(np.concatenate((ref, hyp)), return_inverse=True)[1]
+    r, h = items[: len(ref)], items[len(ref) :]
+    out, gr, gh, many = [], r, h, len(items) + 1
+    for n in range(1, order + 1):
+        if n > 1:
+            gr, gh = gr[: max(0, len(r) - n + 1)], gh[: max(0, len(h) - n + 1)]
+            gr, gh = gr * many + r[n - 1 : n - 1 + len(gr)], gh * many + h[n - 1 : n - 1 + len(gh)]
+            ids = np.unique(np.concatenate((gr, gh)), return_inverse=True)[1]
+            gr, gh = ids[: len(gr)], ids[len(gr) :]
+        top = int(max(gr.max(initial=0), gh.max(initial=0))) + 1
+        out += [int(np.minimum(np.bincount(gr, minlength=top), np.bincount(gh, minlength=top)).sum()), len(gh), len(gr)]
+    return out
 
 
 def ngram_statistics(pairs: DataFrame, ref: str, hyp: str, order: int, split: str = "words") -> DataFrame:
     """One row: matches, hypothesis and reference n-grams of each order up to the given one, and both lengths.
 
-    Rows are dealt once, as texts; their n-grams are then counted within the same
-    partitions, so the work is linear in the texts and no n-gram is shuffled."""
-    cut = {"words": lambda c: F.filter(F.split(c, r"\s+"), lambda t: t != ""), "13a": tokenize_13a, "chars": lambda c: F.filter(F.split(F.regexp_replace(c, r"\s+", ""), ""), lambda t: t != "")}[split]
-    sep = "" if split == "chars" else " "
-    rows = pairs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(ref, F.lit("")).alias("r"), F.coalesce(hyp, F.lit("")).alias("h")).repartition("row")
-    rows = rows.select("row", cut(F.col("r")).alias("r"), cut(F.col("h")).alias("h"))
-
-    def of(side: str, n: int, r: int, h: int) -> Column:
-        return F.transform(ngrams(F.col(side), n, sep), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(r).alias("r"), F.lit(h).alias("h")))
-
-    every = [of(side, n, r, h) for side, r, h in (("r", 1, 0), ("h", 0, 1)) for n in range(1, order + 1)]
-    grams = rows.select("row", F.explode(F.concat(*every)).alias("x")).select("row", "x.*")
-    counts = grams.groupBy("row", "n", "g").agg(F.sum("r").alias("r"), F.sum("h").alias("h"))
-    total = lambda n, x: F.coalesce(F.sum(F.when(F.col("n") == n, x)), F.lit(0)).cast("long")
-    sums = [total(n, x).alias(f"{k}{n}") for n in range(1, order + 1) for k, x in (("m", F.least("r", "h")), ("h", F.col("h")), ("r", F.col("r")))]
-    return counts.agg(*sums, total(1, F.col("h")).alias("hyp_len"), total(1, F.col("r")).alias("ref_len"))
+    A row's n-grams are counted where the row is, in time linear in its texts but for sorting; only a
+    partition's sums are shuffled."""
+    cut = {"words": lambda c: F.filter(F.split(c, r"\s+"), lambda t: t != ""), "13a": tokenize_13a, "chars": lambda c: F.regexp_replace(c, r"\s+", "")}[split]
+    ship(pairs.sparkSession)
+    rows = pairs.select(cut(F.coalesce(ref, F.lit(""))).alias("r"), cut(F.coalesce(hyp, F.lit(""))).alias("h"))
+    names = [f"{k}{n}" for n in range(1, order + 1) for k in "mhr"]
+
+    def numbers(r: str | list[str], h: str | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if split == "chars":
+            return tuple(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4") for x in (r, h))
+        place: dict[str, int] = {}
+        return tuple(np.array([place.setdefault(w, len(place)) for w in x], np.int64) for x in (r, h))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(names), np.int64)
+        for b in batches:
+            for r, h in zip(b.column(0), b.column(1), strict=True):
+                total += gram_counts(*numbers(r.as_py(), h.as_py()), order)
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total.tolist()], names)
+
+    counts = rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    sums = [F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in names]
+    return counts.agg(*sums).withColumns({"hyp_len": F.col("h1"), "ref_len": F.col("r1")})
 
 
 def bleu(pairs: DataFrame, ref: str, hyp: str, split: str = "13a") -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 import random
 import uuid
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -316,3 +317,14 @@ def test_answers_are_asked_once(spark, tmp_path):
     drafts = frame(spark, [("q", "d"), ("q", None)], "p string, draft string")
     got = {(r.draft, r.refined) for r in adapters.refine(drafts, "p", "draft", "inga2es", model, str(tmp_path / "other")).collect()}
     assert got == {("d", "q\n\nTraduccion automatica preliminar a refinar:\nd\n\nVersino refinada:!"), (None, None)}
+
+
+def test_gram_counts():
+    rng = random.Random(9)
+    for _ in range(300):
+        r, h = ([rng.randint(0, 3) for _ in range(rng.randint(0, 12))] for _ in range(2))
+        want = []
+        for n in range(1, 5):
+            a, b = (Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1)) for x in (r, h))
+            want += [sum((a & b).values()), sum(b.values()), sum(a.values())]
+        assert metrics.gram_counts(np.array(r, np.int64), np.array(h, np.int64), 4) == want
