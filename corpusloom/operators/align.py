@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -57,19 +58,113 @@ def shuffled(key: str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
 
 
+#: Digits of the shuffle's key that one round of counts tells apart, and rows that are few enough to be looked at.
+DIGITS, FEW = 4, 1000
+
+
+def cut_values(df: DataFrame, value: str, ranks: list[int]) -> dict[int, tuple[str, int, int]]:
+    """Of each rank from 0 on: the value there by ascending order, the rows below that value, and the rows that have it.
+
+    value is a column of hexadecimal strings of one length, or empty ones. Rows are counted by
+    their first digits; what begins as a rank's value does is counted by the next
+    digits, until few rows are left. A round reads the column once and gives at most 65,537 counts for each
+    rank, whatever the number of rows. Ranks at the end or after it are left out."""
+    found: dict[int, tuple[str, int, int]] = {}
+    # By rank: the digits known, and the rows below all values that begin with them.
+    open_ = {r: ("", 0) for r in ranks}
+    size = {"": df.count()}
+    open_ = {r: x for r, x in open_.items() if r < size[""]}
+    while open_:
+        heads = sorted({head for head, _ in open_.values()})
+        small = all(size[h] <= FEW for h in heads)
+        depth = max(map(len, heads)) + DIGITS
+        rows = df if heads == [""] else df.where(F.substring(value, 1, len(heads[0])).isin(heads))
+        # Values that have no more digits than those known stay what they are.
+        counted = rows.groupBy((F.col(value) if small else F.substring(value, 1, depth)).alias("v")).agg(F.count("*").alias("n"), F.max(F.length(value)).alias("width")).collect()
+        counted.sort(key=lambda r: r["v"])
+        onward = {}
+        for rank, (head, below) in open_.items():
+            for r in counted:
+                if r["v"].startswith(head):
+                    if below + r["n"] > rank:
+                        break
+                    below += r["n"]
+            if len(r["v"]) == r["width"]:
+                found[rank] = (r["v"], below, r["n"])
+            else:
+                onward[rank] = (r["v"], below)
+                size[r["v"]] = r["n"]
+        open_ = onward
+    return found
+
+
+def _cut(df: DataFrame, key: str, seed: int, ranks: list[int]) -> tuple[DataFrame, Callable[[int], Column]]:
+    """df with columns _cut_s and _cut_t, and the condition that a row comes before a rank of the shuffle's order.
+
+    Rows whose key is the one at a rank, if there are more of them than one, are numbered (_cut_t) among themselves."""
+    keyed = df.withColumn("_cut_s", F.coalesce(shuffled(key, seed), F.lit("")))
+    at = cut_values(keyed.select("_cut_s"), "_cut_s", ranks)
+    tied = sorted({v for rank, (v, below, n) in at.items() if n > 1 and below < rank})
+    none = F.lit(None).cast("long")
+    if tied:
+        apart = settled(keyed.where(F.col("_cut_s").isin(tied)).withColumn("_cut_m", F.monotonically_increasing_id()))
+        parts = [number(apart.where(F.col("_cut_s") == v), ["_cut_m"], "_cut_t").drop("_cut_m") for v in tied]
+        rows = reduce(DataFrame.unionByName, parts, keyed.where(~F.col("_cut_s").isin(tied)).withColumn("_cut_t", none))
+    else:
+        rows = keyed.withColumn("_cut_t", none)
+
+    def before(rank: int) -> Column:
+        if rank not in at:
+            return F.lit(True)
+        v, below, _ = at[rank]
+        return (F.col("_cut_s") < v) | ((F.col("_cut_s") == v) & (F.coalesce("_cut_t", F.lit(0)) < rank - below))
+
+    return rows, before
+
+
 def sample(df: DataFrame, key: str, n: int, seed: int = 42, strict: bool = False) -> DataFrame:
-    """n rows; of fewer rows all, or with ``strict`` ValueError."""
+    """The first n rows of the shuffle's order; of fewer rows all, or with ``strict`` ValueError.
+
+    The order's cut value is found by counts, and only rows before it are sorted. df is read more than once and must be the same each time."""
     if strict and df.limit(n).count() < n:
         raise ValueError(f"a sample of {n} needs as many rows")
-    return df.orderBy(shuffled(key, seed), key).limit(n)
+    rows, before = _cut(df, key, seed, [n])
+    return rows.where(before(n)).orderBy("_cut_s", key).select(*df.columns)
 
 
 def split(df: DataFrame, key: str, seed: int = 42, shares: tuple[int, int] = (80, 10)) -> DataFrame:
-    """df with ``split``: int(0.8 n) train, int(0.1 n) val, the rest test, by the shuffle's order."""
-    ranked = number(df.withColumn("_s", shuffled(key, seed)), ["_s", key], "_r").drop("_s")
+    """df with ``split``: int(0.8 n) train, int(0.1 n) val, the rest test, by the shuffle's order.
+
+    Two cut values are found by counts, then each row is told by its own key. Rows that repeat the key at a cut
+    are numbered, so sizes are exact; a null key comes first. df is read more than once and must be the same each time."""
     n = df.count()
-    a, b = n * shares[0] // 100, n * shares[1] // 100
-    return ranked.withColumn("split", F.when(F.col("_r") < a, "train").when(F.col("_r") < a + b, "val").otherwise("test")).drop("_r")
+    a = n * shares[0] // 100
+    b = a + n * shares[1] // 100
+    rows, before = _cut(df, key, seed, sorted({a, b}))
+    return rows.select(*df.columns, F.when(before(a), "train").when(before(b), "val").otherwise("test").alias("split"))
+
+
+class UnequalLengths(ValueError):
+    """Two tables that are to be put side by side by position don't have the same number of rows."""
+
+    def __init__(self, left: int, right: int):
+        super().__init__(f"{left} rows on the left, {right} on the right")
+        self.left, self.right = left, right
+
+
+def attach(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str], name: str = "idx") -> DataFrame:
+    """The columns of left and of right, the i-th row of one beside the i-th of the other, with their number from 0.
+
+    Both are numbered by ranges; the last number of each is its length. If they differ, UnequalLengths is raised here,
+    before any row is joined. Orders must leave no ties between different rows. Columns of both must have different names."""
+    if clash := set(left.columns) & set(right.columns) | {name} & {*left.columns, *right.columns}:
+        raise ValueError(f"columns on both sides: {', '.join(sorted(clash))}")
+    a, b = number(left, left_order, name), number(right, right_order, name)
+    ends = a.agg(F.count("*").alias("n")).unionAll(b.agg(F.count("*").alias("n"))).withColumn("side", F.monotonically_increasing_id())
+    n, m = (r["n"] for r in ends.orderBy("side").collect())
+    if n != m:
+        raise UnequalLengths(n, m)
+    return a.join(b, name)
 
 
 def both_directions(pairs: DataFrame, a: str, b: str, codes: tuple[str, str]) -> DataFrame:
