@@ -137,3 +137,41 @@ class Blocks:
                     at = end
                     continue
             at += 1
+
+
+def report(text):
+    """(seq, kind, level, number, text, title, header, cells) of a report's lines, in their order."""
+    lines = [(i, x.rstrip()) for i, x in enumerate(text.split("\n"))]
+    left = [(i, x) for i, x in lines if x]
+    found, caption, tables = [], None, {}
+    for i, x in left:
+        here, caption = caption, None
+        # here: the caption right before this line, and whether it may still get a title.
+        if here and here[1] and len(x.strip()) > 2 and x.strip()[0] == x.strip()[-1] == "*":
+            here[0][5] = x.strip()[1:-1]
+            caption = here[0], False
+        elif m := re.fullmatch(r"(#+)\s+(.+)", x):
+            found.append([i, "heading", len(m[1]), None, m[2], None, None, None])
+        elif m := re.fullmatch(r"\*\*(Tabla|Figura)\s+(\d+)\*\*", x):
+            found.append([i, "caption", None, int(m[2]), m[1], None, None, None])
+            caption = found[-1], True
+        elif m := re.fullmatch(r"!\[.*?\]\((.+)\)", x):
+            own = here[0] if here and here[0][4] == "Figura" else [None] * 8
+            found.append([i, "figure", None, own[3], m[1], own[5], None, None])
+        elif m := re.fullmatch(r"\*Nota\.\*\s*(.+)", x):
+            found.append([i, "note", None, None, m[1], None, None, None])
+        elif re.fullmatch(r"\|.+\|", x):
+            cells = [c.strip() for c in x.strip("|").split("|")]
+            if i - 1 in tables:
+                tables[i] = tables[i - 1]
+                tables[i][1].append(cells)
+            else:
+                tables[i] = (here[0] if here and here[0][4] == "Tabla" else [None] * 8), [cells], i
+        elif m := re.fullmatch(r"[-*]\s+(.+)", x):
+            found.append([i, "list", None, None, m[1], None, None, None])
+        else:
+            found.append([i, "paragraph", None, None, x, None, None, None])
+    for own, rows, i in {id(t): t for t in tables.values()}.values():
+        if len(rows) > 1:
+            found.append([i, "table", None, own[3], None, own[5], rows[0], rows[2:]])
+    return sorted(found, key=lambda r: r[0])
