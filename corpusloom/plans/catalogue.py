@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as T
 from ..functions.text import collapse, superscript_digits, word_count, words
-from ..operators import adapters, align, cleaning, metrics, parsing, profile, prompt, quality, vector
+from ..operators import adapters, align, cleaning, encoding, metrics, parsing, profile, prompt, quality, vector
 from ..shared import settled, shared_folder
+from ..sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -215,6 +216,32 @@ def sample_n(spark, sf_dir):
     return align.sample(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 100)
 
 
+@query(f"""WITH {PAIRS}, l AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS idx FROM pairs),
+  r AS (SELECT conv_id AS other_conv, turn AS other_turn, length(b)::INTEGER AS n, row_number() OVER (ORDER BY length(b), conv_id, turn) - 1 AS idx FROM pairs)
+SELECT idx::BIGINT AS idx, conv_id, turn, other_conv, other_turn, n FROM l JOIN r USING (idx)""")
+def attach_by_place(spark, sf_dir):
+    both = pairs(spark, sf_dir)
+    answers = both.select(F.col("conv_id").alias("other_conv"), F.col("turn").alias("other_turn"), F.length("b").alias("n"))
+    return align.attach(both.select("conv_id", "turn"), answers, ["conv_id", "turn"], ["n", "other_conv", "other_turn"])
+
+
+@query("SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS place, doc_id, text, lang FROM documents")
+def one_ordered_file(spark, sf_dir):
+    """Written as one file of JSON Lines, then read again with each line's place in it."""
+    path = f"{shared_folder(spark)}/one-{uuid.uuid4().hex}.jsonl"
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    writers.json_lines(docs, path, ["doc_id"], one_file=True)
+    lines = readers.json_lines(spark, path, "doc_id long, text string, lang string")
+    placed = lines.select("*", F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    return align.number(placed, ["_start", "_id"], "place").drop("_start", "_id")
+
+
+@query()
+def encode_pairs(spark, sf_dir):
+    """128 ids of each side of a pair by a public tokenizer's file."""
+    return encoding.encode_examples(pairs(spark, sf_dir), "a", "b", pad=50256, end=50256).drop("a", "b")
+
+
 # Quality
 
 
@@ -402,6 +429,33 @@ def bilingual_blocks(spark, sf_dir):
     return parsing.parse_bilingual_lines(rendered(spark, sf_dir, SHORT_DOC, BILINGUAL_LINE))
 
 
+REPORT_LINE = f"""CASE {DICE} % 20 WHEN 0 THEN '# Uno ' || {P} WHEN 1 THEN '**Tabla ' || {P} || '**' WHEN 2 THEN '**Figura ' || {P} || '**' WHEN 3 THEN '*Titulo ' || {P} || '*' WHEN 4 THEN ' *Titulo ' || {P} || '* '
+  WHEN 5 THEN '![a](f/' || {P} || '.png)' WHEN 6 THEN '*Nota.* fuente ' || {P} WHEN 11 THEN '|---|---|' WHEN 12 THEN '- cosa ' || {P} WHEN 13 THEN '' WHEN 14 THEN '  ' WHEN 15 THEN '**Tabla ' || {P} || '**' WHEN 16 THEN '### Tres ' || {P} || ' '
+  ELSE CASE WHEN {DICE} % 20 < 11 THEN '| a ' || {P} || ' | b |' ELSE 'texto ' || {P} END END AS line"""
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT {SHORT_DOC}, seq, {DICE} % 20 AS k, p FROM {LINE_TABLE}),
+  a AS (SELECT *, CASE WHEN k IN (0, 16) THEN 'heading' WHEN k IN (1, 2, 15) THEN 'caption' WHEN k = 5 THEN 'figure' WHEN k = 6 THEN 'note' WHEN k BETWEEN 7 AND 11 THEN 'table' WHEN k = 12 THEN 'list' WHEN k IN (13, 14) THEN 'blank' ELSE 'paragraph' END AS kind,
+    row_number() OVER (PARTITION BY doc ORDER BY seq) AS place FROM l),
+  e AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY seq) AS i FROM a WHERE kind <> 'blank'),
+  f AS (SELECT doc, i, kind AS role FROM e WHERE i = 1 UNION ALL
+    SELECT e.doc, e.i, CASE WHEN f.role = 'caption' AND e.k IN (1, 2, 3, 4, 15) THEN 'title' ELSE e.kind END FROM f JOIN e ON e.doc = f.doc AND e.i = f.i + 1),
+  r AS (SELECT e.*, f.role, CASE k WHEN 2 THEN 'Figura' ELSE 'Tabla' END AS name FROM e JOIN f USING (doc, i)),
+  c AS (SELECT c.doc, c.seq, c.p::BIGINT AS number, c.name AS text, CASE WHEN t.k IN (3, 4) THEN 'Titulo ' || t.p WHEN t.k IS NOT NULL THEN '*' || t.name || ' ' || t.p || '*' END AS title, c.i + CASE WHEN t.k IS NULL THEN 1 ELSE 2 END AS i
+    FROM r c LEFT JOIN r t ON t.doc = c.doc AND t.i = c.i + 1 AND t.role = 'title' WHERE c.role = 'caption'),
+  g AS (SELECT doc, min(seq) AS seq, min(i) AS i, list(CASE k WHEN 11 THEN '---/---' ELSE 'a ' || p || '/b' END ORDER BY seq) AS rows
+    FROM (SELECT *, place - row_number() OVER (PARTITION BY doc ORDER BY seq) AS island FROM r WHERE kind = 'table') GROUP BY doc, island HAVING count(*) > 1)
+SELECT doc, seq, role AS kind, CASE k WHEN 0 THEN 1 WHEN 16 THEN 3 END::INTEGER AS level, NULL::BIGINT AS number, CASE WHEN k = 0 THEN 'Uno ' WHEN k = 16 THEN 'Tres ' WHEN k = 6 THEN 'fuente ' WHEN k = 12 THEN 'cosa ' WHEN k = 3 THEN '*Titulo ' WHEN k = 4 THEN ' *Titulo ' ELSE 'texto ' END || p || CASE WHEN k IN (3, 4) THEN '*' ELSE '' END AS text, NULL AS title, NULL AS header, NULL AS cells
+FROM r WHERE role IN ('heading', 'note', 'list', 'paragraph')
+UNION ALL SELECT r.doc, r.seq, 'figure', NULL, c.number, 'f/' || r.p || '.png', c.title, NULL, NULL FROM r LEFT JOIN c ON c.doc = r.doc AND c.i = r.i AND c.text = 'Figura' WHERE r.role = 'figure'
+UNION ALL SELECT g.doc, g.seq, 'table', NULL, c.number, NULL, c.title, rows[1], coalesce(array_to_string(rows[3:], '#'), '') FROM g LEFT JOIN c ON c.doc = g.doc AND c.i = g.i AND c.text = 'Tabla'
+UNION ALL SELECT doc, seq, 'caption', NULL, number, text, title, NULL, NULL FROM c""")
+def report_blocks(spark, sf_dir):
+    found = parsing.report_blocks(rendered(spark, sf_dir, SHORT_DOC, REPORT_LINE))
+    cells = F.array_join(F.transform("cells", lambda r: F.array_join(r, "/")), "#")
+    return found.select("doc", "seq", "kind", "level", "number", "text", "title", F.array_join("header", "/").alias("header"), cells.alias("cells"))
+
+
 @query("""WITH a AS (SELECT conv_id, min(turn) FILTER (role = 'user') AS a, min(turn) FILTER (role = 'assistant') AS z FROM conversations GROUP BY 1)
 SELECT conv_id, turn, role FROM conversations JOIN a USING (conv_id) WHERE turn >= coalesce(a, 0) AND (z IS NULL OR turn < z)""")
 def section_slice(spark, sf_dir):

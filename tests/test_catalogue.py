@@ -21,7 +21,7 @@ def rows(pdf):
     return sorted(map(tuple, pdf.where(pdf.notna(), None).itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", list(catalogue.QUERIES))
+@pytest.mark.parametrize("name", list(catalogue.ORACLE))
 def test_equals_sql(spark, sql, name):
     got = rows(catalogue.QUERIES[name](spark, SF).toPandas())
     assert got == rows(sql.sql(catalogue.ORACLE[name]).df())
