@@ -231,9 +231,7 @@ def one_ordered_file(spark, sf_dir):
     path = f"{shared_folder(spark)}/one-{uuid.uuid4().hex}.jsonl"
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     writers.json_lines(docs, path, ["doc_id"], one_file=True)
-    lines = readers.json_lines(spark, path, "doc_id long, text string, lang string")
-    placed = lines.select("*", F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
-    return align.number(placed, ["_start", "_id"], "place").drop("_start", "_id")
+    return readers.numbered_json_lines(spark, path, "doc_id long, text string, lang string")
 
 
 @query()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,18 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: str, mode: st
     return spark.read.schema(schema).option("mode", mode).json(path)
 
 
+def numbered_json_lines(spark: SparkSession, path: str, schema: str, name: str = "place") -> DataFrame:
+    """Rows of one file of JSON Lines with their place in it, from 0 on.
+
+    A task reads a block of the file from its start, so a row's place is the rows of the blocks before its own, of
+    which there is one count each, and its place in its block. The file is read twice; no row is moved."""
+    rows = json_lines(spark, path, schema).select("*", F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    blocks = rows.groupBy("_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("_start", "_first", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(blocks), "_start").withColumn(name, F.col("_before") + F.col("_id") - F.col("_first")).drop("_start", "_id", "_first", "_before")
+
+
 def json_object(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row; without the file, one row of nulls."""
     if exists(spark, path):

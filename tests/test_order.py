@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import align
-from corpusloom.sources import writers
+from corpusloom.sources import readers, writers
 
 
 def key_of(x):
@@ -97,3 +97,16 @@ def test_backup_leaves_the_file(spark, tmp_path):
     writers.json_object(spark, path, {"a": 1})
     kept = writers.backup(spark, path, "v1")
     assert kept == f"{path}.v1" and writers.read_object(spark, kept) == writers.read_object(spark, path) == {"a": 1}
+
+
+def test_places_over_blocks(spark, tmp_path):
+    """A file that is read in several blocks, dealt to tasks in any order."""
+    path = str(tmp_path / "one.jsonl")
+    writers.json_lines(spark.range(5000).select((F.col("id") * 3).alias("k"), F.lit("y" * 30).alias("t")), path, ["k"], one_file=True)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found = readers.numbered_json_lines(spark, path, "k long, t string")
+        assert found.rdd.getNumPartitions() > 5
+        assert {(r.place, r.k) for r in found.collect()} == {(i, 3 * i) for i in range(5000)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
