@@ -10,9 +10,9 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -80,14 +80,23 @@ class Encoder:
             offer(i, k)
         return tuple(x for x in ids if x is not None)
 
-    def ids(self, text: str) -> Iterator[int]:
-        """Ids one after another, so that a reader of the first ones does no more work."""
+    def first_ids(self, text: str, most: float) -> list[int]:
+        """The first ids of a text; what comes after them is not looked at."""
+        out: list[int] = []
+        if most <= 0:
+            return out
         for part in self.marks.splititer(text) if self.marks else [text]:
             if part in self.special:
-                yield self.special[part]
-                continue
-            for m in self.words.finditer(part):
-                yield from self.known(m[0]) if len(m[0]) <= LONGEST else self.word(m[0])
+                out.append(self.special[part])
+            else:
+                for m in self.words.finditer(part):
+                    word = m[0]
+                    out += self.known(word) if len(word) <= LONGEST else self.word(word)
+                    if len(out) >= most:
+                        break
+            if len(out) >= most:
+                return out[:most]
+        return out
 
 
 @lru_cache(2)
@@ -95,10 +104,24 @@ def _encoder(raw: bytes) -> Encoder:
     return Encoder(raw)
 
 
-def _side(encoder: Encoder, text: str | None, start: int | None, end: int | None, length: int) -> list[int]:
-    head = [] if start is None else [start]
-    tail = [] if end is None else [end]
-    return head + list(islice(encoder.ids(text or ""), max(0, length - len(head) - len(tail)))) + tail
+def _filled(encoder: Encoder, texts: pa.Array, starts: pa.Array | None, end: int | None, length: int, empty: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ids, empty where a text has ended, and how many each has."""
+    out = np.full((len(texts), length), empty, np.int32)
+    sizes = np.zeros(len(texts), np.int64)
+    heads = starts.to_pylist() if starts is not None else [None] * len(texts)
+    for i, (text, head) in enumerate(zip(texts, heads, strict=True)):
+        ids = [] if head is None else [head]
+        ids += encoder.first_ids(text.as_py() or "", length - len(ids) - (end is not None))
+        if end is not None:
+            ids.append(end)
+        out[i, : len(ids)] = ids
+        sizes[i] = len(ids)
+    return out, sizes
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    n, length = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * length + 1, length, dtype=np.int32)), pa.array(rows.ravel()))
 
 
 def encode_examples(df: DataFrame, source: str, target: str, pad: int, end: int | None = None, starts: tuple[str, str] | None = None, length: int = 128, ignore: int = IGNORE, model: str = MODEL) -> DataFrame:
@@ -120,15 +143,10 @@ def encode_examples(df: DataFrame, source: str, target: str, pad: int, end: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(file.value)
         for b in batches:
-            columns = [b.column(i) for i in places]
-            out: tuple[list, list, list] = ([], [], [])
-            for row in zip(*columns, strict=True):
-                a, z, first, second = ([x.as_py() for x in row] + [None, None])[:4]
-                inputs, wanted = _side(encoder, a, first, end, length), _side(encoder, z, second, end, length)
-                free = length - len(inputs)
-                out[0].append(inputs + [pad] * free)
-                out[1].append([1] * len(inputs) + [0] * free)
-                out[2].append(wanted + [ignore] * (length - len(wanted)))
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(x, pa.list_(pa.int32())) for x in out]], [*b.schema.names, *names])
+            columns = ([b.column(i) for i in places] + [None, None])[:4]
+            inputs, sizes = _filled(encoder, columns[0], columns[2], end, length, pad)
+            labels, _ = _filled(encoder, columns[1], columns[3], end, length, ignore)
+            mask = (np.arange(length) < sizes[:, None]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(_lists, (inputs, mask, labels))], [*b.schema.names, *names])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in names]]))

@@ -34,7 +34,8 @@ def test_equals_naive(encoder):
 def test_equals_library(spark, encoder):
     library = Tokenizer.from_file(encoding.MODEL)
     whole = [library.encode(t, add_special_tokens=False).ids for t in TEXTS]
-    assert [list(encoder.ids(t)) for t in TEXTS] == whole
+    assert [encoder.first_ids(t, 10**9) for t in TEXTS] == whole
+    assert [encoder.first_ids(t, 5) for t in TEXTS] == [ids[:5] for ids in whole]
     rows = [(i, t, u, 7, None) for i, (t, u) in enumerate(zip(TEXTS, TEXTS[::-1]))] + [(99, None, "x", None, 8)]
     df = spark.createDataFrame(rows, "id int, src string, tgt string, s int, t int")
     got = encoding.encode_examples(df, "src", "tgt", pad=0, end=50256, starts=("s", "t"), length=128)
