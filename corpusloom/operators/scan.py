@@ -280,20 +280,79 @@ def swept(blocks: DataFrame, group: str, fan: int = FAN, start: tuple[float, flo
     return spans.groupBy(group, "span").applyInPandas(states, f"{group} {kind}, block long, chapter double, most double, chapter_after double")
 
 
-def runs(batches: Iterator[pd.DataFrame], key: str, size: int) -> Iterator[pd.DataFrame]:
-    """Rows of sorted batches by runs of one key, cut after ``size`` rows."""
+def _leads(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Where another value of the keys begins; null ones are alike."""
+    change = np.zeros(max(0, len(pdf) - 1), bool)
+    for k in keys:
+        v, none = pdf[k].to_numpy(), pdf[k].isna().to_numpy()
+        change |= (v[1:] != v[:-1]) & ~(none[1:] & none[:-1])
+    return np.concatenate(([0], np.flatnonzero(change) + 1)) if len(pdf) else np.zeros(0, int)
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """(rows, ends) of sorted batches: many groups at once, each whole; group g is rows ends[g] to ends[g + 1]."""
     held: pd.DataFrame | None = None
     for pdf in batches:
         held = pdf if held is None or not len(held) else pd.concat([held, pdf])
-        values = held[key].to_numpy()
-        change = np.flatnonzero(values[1:] != values[:-1]) + 1
-        edges = [0, *change.tolist()]
-        for lo, hi in zip(edges, [*edges[1:], len(held)], strict=True):
-            last = hi == len(held)
-            while hi - lo >= size or (hi > lo and not last):
-                yield held.iloc[lo : min(hi, lo + size)]
-                lo = min(hi, lo + size)
-            if last:
-                held = held.iloc[lo:]
+        leads = _leads(held, keys)
+        if len(leads) > 1:
+            yield held.iloc[: leads[-1]], leads.tolist()
+            held = held.iloc[leads[-1] :]
     if held is not None and len(held):
-        yield held
+        yield held, [0, len(held)]
+
+
+def chapter_runs(batches: Iterator[pd.DataFrame], group: str, number: str, size: int, fall: int = FALL) -> Iterator[pd.DataFrame]:
+    """Of sorted batches (group, number, part): (group, block, ways, n, chapters) of runs of one group.
+
+    A group that begins and ends between others is folded; the first and the last one may go on in other
+    tasks, and they and longer ones than ``size`` give step functions, by blocks."""
+    key, numbers, n, cut, inner, block = None, [], 0, False, False, 0
+    rows: list[tuple] = []
+    part = 0
+
+    def close(more: bool) -> None:
+        nonlocal numbers, n, block
+        if inner and not cut and not more:
+            chapter, most = 1, 0
+            for x in numbers:
+                if x < most - fall:
+                    chapter, most = chapter + 1, x
+                elif x > most:
+                    most = x
+            rows.append((key, None, None, n, chapter))
+        elif n:
+            rows.append((key, (part << 32) + block, Chapters.of([(0, x) for x in numbers], fall).pack(), n, None))
+            block += 1
+        numbers, n = [], 0
+
+    def told() -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=[group, "block", "ways", "n", "chapters"])
+        rows.clear()
+        return out.astype({"block": "Int64", "chapters": "Int64"})
+
+    began = False
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        part = int(pdf["part"].iloc[0])
+        keys, x, leads = pdf[group].tolist(), pdf[number], _leads(pdf, [group]).tolist()
+        there, x = x.notna().to_numpy(), x.to_numpy()
+        for lo, hi in zip(leads, [*leads[1:], len(pdf)], strict=True):
+            same = began and (keys[lo] == key or (pd.isna(keys[lo]) and pd.isna(key)))
+            if not same:
+                if began:
+                    close(False)
+                key, cut, inner, began = keys[lo], False, began, True
+            while hi - lo > size - n:
+                to = lo + size - n
+                numbers += x[lo:to][there[lo:to]].tolist()
+                n, lo = size, to
+                close(True)
+                cut = True
+            numbers += x[lo:hi][there[lo:hi]].tolist()
+            n += hi - lo
+        yield told()
+    if began:
+        close(True)
+        yield told()
